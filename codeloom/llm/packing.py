@@ -54,7 +54,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024) ->
     by = classes(capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        enc = encoder(tokenizer)
         count = TaskContext.get().partitionId() << 33
         open_bins: list[list[tuple]] = [[] for _ in by]
 
@@ -72,8 +72,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024) ->
 
         for batch in text_batches(batches):
             done = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1).to_pylist()), strict=True):
-                raw += end
+            for doc_id, raw in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1), end_id), strict=True):
                 n, at = len(raw) // 4, 0
                 for length, k in cut(n, capacity, by):
                     open_bins[k].append((doc_id, at, length, raw[4 * at : 4 * (at + length)], n))

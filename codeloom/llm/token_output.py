@@ -89,10 +89,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
     bounds = sorted(set(bounds or []))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        enc = encoder(tokenizer)
         for batch in text_batches(batches):
             doc_ids = batch.column(0).to_pylist()
-            raw = [b + end for b in enc.encode_many(batch.column(1).to_pylist())]
+            raw = enc.encode_many(batch.column(1), end_id)
             coded = simple8b.encode([np.frombuffer(b, dtype="<u4") for b in raw])
             yield pa.RecordBatch.from_arrays(
                 [

@@ -6,22 +6,29 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from codeloom.llm.common import quiet_tokenizers
 
 #: White space beyond ASCII (fixed values of Unicode, and some that other libraries count): such a text is encoded whole.
-WIDE_SPACE = "\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200C)))
+WIDE_SPACE = "\x85\xa0 ᠎    　﻿" + "".join(map(chr, range(0x2000, 0x200C)))
+#: Marks the cuts of a batch.
+CUT = "\x01"
+#: Vocabularies that drop white space.
+SPACELESS = {"word_bpe_49k.json"}
 
 
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    Both public vocabularies end a pre-token where a run of white space begins, so a text may be cut before each such run
-    and the pieces encoded by themselves; equal pieces are encoded once and kept. New pieces of a batch of texts go to the
-    library joined by a special token, which it splits off before anything else and whose id marks where each ends.
-    Texts with other white space than ASCII's, or with the spelling of a special token, are encoded in one piece.
-    The memo is bounded: beyond ``limit`` pieces it starts anew, and pieces of more than ``longest`` characters are not
-    kept. Null is encoded as the empty text.
+    Both public vocabularies end a pre-token where a run of white space begins, and between a letter or digit and a full
+    stop or comma, so a text may be cut there and the pieces encoded by themselves. A batch is cut and its distinct pieces found with
+    Arrow; their ids come from a memo of the worker, and the batch's ids are gathered with numpy. New pieces go to the
+    library joined by a special token, which it splits off before anything else and whose id marks where each ends. Texts
+    with a cut inside a run of white space or of other signs, with a capital that becomes a letter and a sign, with other white space than ASCII's, or with the spelling of
+    a special token, are encoded in one piece. The memo is bounded: beyond ``limit`` pieces it starts anew, and pieces of more than
+    ``longest`` characters are not kept. Null is encoded as the empty text.
     """
 
     def __init__(self, tokenizer: str, limit: int = 1_000_000, longest: int = 48):
@@ -29,9 +36,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(tokenizer))
-        self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.mark, self.mark_id = next(iter(self.specials.items()))
-        self.cut = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+").findall
+        specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.mark, self.mark_id = next(iter(specials.items()))
+        self.whole = "|".join([*(re.escape(s) for s in specials), f"[{WIDE_SPACE}{CUT}İ]", r"[\t-\r ][ \n]", r"[^\pL\pN][.,]"])
+        self.spaces = tokenizer not in SPACELESS
         self.memo: dict[str, bytes] = {}
         self.limit, self.longest = limit, longest
 
@@ -48,30 +56,55 @@ class WordEncoder:
                 begin = end + 4
         return dict(zip(pieces, out, strict=True))
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        cuts: list[list[str] | bytes] = []
-        for text in texts:
-            if not text:
-                cuts.append([])
-            elif any(s in text for s in self.specials) or not text.isascii() and any(c in text for c in WIDE_SPACE):
-                cuts.append(self._ids([text])[0].tobytes())
-            else:
-                cuts.append(self.cut(text))
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of a batch's distinct pieces."""
         memo = self.memo
-        new = [p for p in set().union(*(c for c in cuts if isinstance(c, list))) if p not in memo]
-        found: dict[str, bytes] = {}
-        if new:
-            if len(memo) + len(new) > self.limit:
-                memo.clear()
-                new = list(set().union(*(c for c in cuts if isinstance(c, list))))
-            found = self._learn(new)
-            memo.update((p, b) for p, b in found.items() if len(p) <= self.longest)
-        long = {p: b for p, b in found.items() if len(p) > self.longest}
-        get = (lambda p: memo[p] if p in memo else long[p]) if long else memo.__getitem__
-        return [c if isinstance(c, bytes) else b"".join(map(get, c)) for c in cuts]
+        got = [memo.get(p) for p in pieces]
+        new = [p for p, b in zip(pieces, got, strict=True) if b is None]
+        if not new:
+            return got
+        found = self._learn(new)
+        if len(memo) + len(new) > self.limit:
+            memo.clear()
+        memo.update((p, b) for p, b in found.items() if len(p) <= self.longest)
+        return [found[p] if b is None else b for p, b in zip(pieces, got, strict=True)]
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch of texts, and where each text's end."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        cut = pc.if_else(pa.array(whole), "", texts)
+        for c in " \n.,":
+            cut = pc.replace_substring(cut, c, CUT + c if self.spaces or c in ".," else CUT)
+        cut = pc.split_pattern(cut, CUT)
+        offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        raw = self._pieces(words)
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat = np.frombuffer(b"".join(raw), dtype="<u4")
+        n = size[codes]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(size) - size)[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[offsets[1:]] if len(offsets) > 1 else np.zeros(0, np.int64)
+        if whole.any():
+            at = np.flatnonzero(whole)
+            parts = np.split(ids, bounds[:-1])
+            for k, own in zip(at.tolist(), self._ids([texts[k].as_py() for k in at.tolist()]), strict=True):
+                parts[k] = own
+            ids, bounds = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return ids, bounds
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_many([text])[0]
+        return self.encode_batch(pa.array([text], pa.string()))[0].tobytes()
+
+    def encode_many(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        """Ids of each text and then ``end_id``."""
+        ids, bounds = self.encode_batch(texts)
+        raw, end = ids.tobytes(), np.array([end_id], dtype="<u4").tobytes()
+        at = [0, *(4 * bounds).tolist()]
+        return [raw[a:b] + end for a, b in zip(at, at[1:], strict=False)]
 
 
 _encoders: dict[str, WordEncoder] = {}
