@@ -92,7 +92,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, u: str = "u", v: st
     while True:
         # Large star: every neighbour above a node goes to the smallest of the node and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node's smaller neighbours, and the node, go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -109,3 +109,53 @@ def connected_components(edges: DataFrame, scratch: Scratch, u: str = "u", v: st
         last = sums
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def group_ends(*keys) -> "np.ndarray":  # noqa: F821
+    """Where each run of equal keys ends, in sorted columns."""
+    import numpy as np
+
+    n = len(keys[0])
+    change = np.zeros(max(n - 1, 0), dtype=bool)
+    for k in keys:
+        change |= k[1:] != k[:-1]
+    return np.append(np.flatnonzero(change) + 1, n) if n else np.zeros(0, np.int64)
+
+
+def union_labels(n: int, a, b):
+    """Smallest index that each of ``n`` nodes reaches over the links ``a[i] - b[i]``."""
+    import numpy as np
+
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while not np.array_equal(jump := new[new], new):
+            new = jump
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Rows sorted by ``keys`` as tables of whole groups, of about ``rows`` rows or one larger group."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        ends = group_ends(*(table.column(k).to_numpy() for k in keys))
+        if len(ends) > 1:
+            cut = int(ends[-2])
+            yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+            size -= cut
+    if held:
+        yield pa.Table.from_batches(held)

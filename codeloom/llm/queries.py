@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from codeloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from codeloom.llm.packing import op4_packing
+from codeloom.llm.secrets import op3_secrets
+from codeloom.llm.simhash import op8_simhash
 from codeloom.llm.token_output import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op3_secrets": op3_secrets,
     "op4_packing": op4_packing,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_simhash": op8_simhash,
+}
+ORACLE_SQL = {
+    "op7_line_dedup": OP7_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
