@@ -7,6 +7,7 @@ from codeloom.llm.html_extract import op10_html_extraction
 from codeloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from codeloom.llm.neighbours import op9_neighbours
 from codeloom.llm.packing import op4_packing
+from codeloom.llm.pieces import op2_sentencepiece
 from codeloom.llm.quality import op6_quality
 from codeloom.llm.secrets import op3_secrets
 from codeloom.llm.simhash import op8_simhash
@@ -14,6 +15,7 @@ from codeloom.llm.token_output import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_secrets": op3_secrets,
     "op4_packing": op4_packing,
     "op5_embedding_dedup": op5_embedding_dedup,
