@@ -13,11 +13,14 @@ import numpy as np
 SELECTORS = [(120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 BLOCK = 1024
 _PAD = SELECTORS[0][0]
+_SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 _COUNT = np.array([1] + [c for c, _ in SELECTORS], dtype=np.int64)
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value: 0 for 0, 64 at most."""
+    if not len(values) or int(values.max()) < 1 << 16:
+        return _SHORT[values]
     high = (values >> np.uint64(32)).astype(np.float64)
     low = (values & np.uint64(0xFFFFFFFF)).astype(np.float64)
     return np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.uint8)
@@ -76,6 +79,7 @@ def _encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
     order = np.lexsort((step, lane))
     lane, start, sel = lane[order], start[order], sel[order]
     word = np.zeros(len(sel), dtype=np.uint64)
+    place, flat = lane * vals.shape[1] + start, vals.ravel()
     for s in np.unique(sel):
         at = np.flatnonzero(sel == s)
         if s == 0:
@@ -83,8 +87,9 @@ def _encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
         count, bits = SELECTORS[s - 1]
         w = np.full(len(at), s, dtype=np.uint64) << np.uint64(60)
         if bits:
+            own = place[at]
             for j in range(count):
-                w |= vals[lane[at], start[at] + j] << np.uint64(j * bits)
+                w |= flat[own + j] << np.uint64(j * bits)
         word[at] = w
     escapes = np.flatnonzero(sel == 0)
     if len(escapes):
