@@ -31,7 +31,7 @@ class WordEncoder:
     ``longest`` characters are not kept. Null is encoded as the empty text.
     """
 
-    def __init__(self, tokenizer: str, limit: int = 1_000_000, longest: int = 48):
+    def __init__(self, tokenizer: str, limit: int = 600_000, longest: int = 48):
         quiet_tokenizers()
         from tokenizers import Tokenizer
 
@@ -86,7 +86,10 @@ class WordEncoder:
         flat = np.frombuffer(b"".join(raw), dtype="<u4")
         n = size[codes]
         ends = np.cumsum(n)
-        ids = flat[np.repeat((np.cumsum(size) - size)[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        place = np.repeat(((np.cumsum(size) - size)[codes] - (ends - n)).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)  # a batch is some megabytes of text
+        ids = flat[place]
+        del place
         bounds = np.concatenate(([0], ends))[offsets[1:]] if len(offsets) > 1 else np.zeros(0, np.int64)
         if whole.any():
             at = np.flatnonzero(whole)
