@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import Scratch, n_partitions, text_batches
-from codeloom.llm.dom import Node, blocks, parse, tree_match
+from codeloom.llm.dom import BLOCK, Node, blocks, parse, tree_match
 
 REFERENCES, BROADCAST_BYTES = 5, 64 << 20
 #: Elements that hold no article text, and words of classes, ids and roles that say so.
@@ -178,7 +178,8 @@ class Wrapper:
         return found
 
     def skip(self, node: Node) -> bool:
-        return is_other(node) or bool(self.constant) and (node.path, node.own_text()) in self.constant and not node.elements()
+        """Parts that are no article's, and template blocks; words inside a block that varies stay."""
+        return is_other(node) or bool(self.constant) and node.tag in BLOCK and (node.path, node.own_text()) in self.constant and not node.elements()
 
 
 def main_text(html: str | None, wrapper: Wrapper | None) -> str:
