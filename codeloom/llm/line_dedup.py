@@ -35,7 +35,7 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("l"))
     clean = F.trim(F.regexp_replace("l", r"\s+", " "))
     one = one.select("doc_id", F.xxhash64("l").alias("raw"), clean.alias("c")).where("c <> ''")
-    masked = F.when(F.col("c").rlike("[0-9]"), F.regexp_replace("c", r"(?<! )[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(F.col("c"))
+    masked = F.when(F.col("c").rlike("[0-9]"), F.regexp_replace("c", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(F.col("c"))
     one = one.select("doc_id", "raw", masked.alias("m"))
     one = one.select("doc_id", "raw", "m", F.split("m", " ").alias("t")).withColumn("n", F.size("t"))
     at = [F.when(F.col("n") <= LEADING + PROBES, F.lit(LEADING + k)).otherwise(LEADING + F.floor(k * (F.col("n") - LEADING) / PROBES)).cast("int") for k in range(PROBES)]

@@ -42,10 +42,11 @@ class Model:
 
 
 def _padded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, each padded with zeros to whole blocks, and the blocks of each."""
+    """Bytes of all texts, each padded with zeros to whole blocks and one block more, so no filter reads on into the next
+    text; and the blocks of each, without that one."""
     raw = [(t or "").encode() for t in texts]
     blocks = np.array([-(-(len(b) + WIDTH - 1) // BLOCK) for b in raw], dtype=np.int64)
-    return np.frombuffer(b"".join(b.ljust(int(n) * BLOCK, b"\0") for b, n in zip(raw, blocks, strict=True)), dtype=np.uint8), blocks
+    return np.frombuffer(b"".join(b.ljust(int(n + 1) * BLOCK, b"\0") for b, n in zip(raw, blocks, strict=True)), dtype=np.uint8), blocks
 
 
 def _block_max(model: Model, data: np.ndarray, piece: int = 4096) -> np.ndarray:
@@ -75,7 +76,7 @@ def scores(model: Model, texts: list[str | None]) -> np.ndarray:
     data, blocks = _padded(texts)
     top = _block_max(model, data)
     text, start = chunk_starts(blocks)
-    first = (np.cumsum(blocks) - blocks)[text]
+    first = (np.cumsum(blocks + 1) - blocks - 1)[text]
     pooled = top[first + start]
     for k in range(1, PER_CHUNK):
         pooled = np.maximum(pooled, top[first + np.minimum(start + k, blocks[text] - 1)])

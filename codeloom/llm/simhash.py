@@ -125,7 +125,7 @@ def near_links(fps: DataFrame, scratch: Scratch, radius: int = 3) -> DataFrame:
     spark = fps.sparkSession
     edges = [64 * k // (radius + 1) for k in range(radius + 2)]
     keys = [
-        F.struct(F.lit(k).alias("part"), F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
+        F.struct(F.lit(k).alias("part"), F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1 if b - a < 64 else -1).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
     ]
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.part", "k.bits", "fp")
     hot = scratch.save(rows.groupBy("part", "bits").count().where(F.col("count") > HOT), "hot")
