@@ -70,7 +70,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024) ->
             names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
 
-        for batch in text_batches(batches, 1024, 8 << 20):
+        for batch in text_batches(batches, 2048, 8 << 20):
             done = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1), end_id), strict=True):
                 n, at = len(raw) // 4, 0

@@ -90,7 +90,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in text_batches(batches, 1024, 8 << 20):
+        for batch in text_batches(batches, 2048, 8 << 20):
             doc_ids = batch.column(0).to_pylist()
             raw = enc.encode_many(batch.column(1), end_id)
             coded = simple8b.encode([np.frombuffer(b, dtype="<u4") for b in raw])

@@ -31,7 +31,7 @@ class WordEncoder:
     ``longest`` characters are not kept. Null is encoded as the empty text.
     """
 
-    def __init__(self, tokenizer: str, limit: int = 600_000, longest: int = 48):
+    def __init__(self, tokenizer: str, limit: int = 700_000, longest: int = 48):
         quiet_tokenizers()
         from tokenizers import Tokenizer
 
