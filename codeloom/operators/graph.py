@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.scores import risk_level
+from codeloom.work import Work
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, outgoing: bool = True, min_confidence: float = 0.0) -> DataFrame:
@@ -73,15 +74,16 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, min_co
 def ancestors(supertypes: DataFrame, max_depth: int = 16) -> DataFrame:
     """(type, ancestor, dist) of ``supertypes`` (sub, sup): each type itself at 0, and each supertype at its least distance.
 
-    Stops when a level is empty. The least distance decides in a cycle.
+    Stops when a level is empty. The least distance decides in a cycle. Each level is written, so the next one's plan is short.
     """
-    pairs = supertypes.select("sub", "sup").distinct()
+    work = Work(supertypes.sparkSession, "ancestors")
+    pairs = work.save(supertypes.select("sub", "sup").distinct(), "pairs")
     types = pairs.select(F.col("sub").alias("type")).unionByName(pairs.select(F.col("sup").alias("type"))).distinct()
     level = types.select("type", F.col("type").alias("ancestor"))
     out = level.withColumn("dist", F.lit(0))
     for dist in range(1, max_depth + 1):
         step = level.join(pairs, F.col("ancestor") == F.col("sub")).select("type", F.col("sup").alias("ancestor")).distinct()
-        level = step.join(out, ["type", "ancestor"], "left_anti").persist()
+        level = work.save(step.join(out, ["type", "ancestor"], "left_anti"), str(dist))
         if level.isEmpty():
             break
         out = out.unionByName(level.withColumn("dist", F.lit(dist)))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import re
 
-import codeloom
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import codeloom
 from codeloom.functions.names import normal_signature, owner_of
 from codeloom.operators import graph, metrics, rank, resolve, search, store
 from codeloom.plans.build import build, node_table
 from codeloom.plans.snapshot import SnapshotStore
 from codeloom.schema import TYPE_KINDS
 from codeloom.sources.files import discover, parse_files, parse_with_cache
+from codeloom.work import Work
 
 NOT_INDEXED = {"error": "not_indexed", "hint": "run: python -m codeloom build <path>"}
 BLIND_SPOTS = ["calls by reflection", "generated code", "runtime wiring and configuration"]
@@ -33,12 +34,12 @@ class Engine:
         """Index all files anew; files whose content is known aren't parsed again."""
         files = discover(self.spark, root)
         parsed = parse_files(files) if self.store.version() is None else parse_with_cache(files, self.store.read("parsed_file"))
-        parsed = parsed.persist()
-        nodes = node_table(parsed, self.repo, "", self.entry_points, self.patterns).persist()
+        work = Work(self.spark, "index")
+        parsed = work.save(parsed, "parsed")
+        nodes = work.save(node_table(parsed, self.repo, "", self.entry_points, self.patterns), "nodes")
         tables = build(parsed, nodes)
         self._write(parsed, nodes, tables)
-        parsed.unpersist()
-        nodes.unpersist()
+        work.drop()
         return self.status()
 
     def _write(self, parsed: DataFrame, nodes: DataFrame, tables: dict[str, DataFrame]) -> None:
@@ -59,21 +60,21 @@ class Engine:
         if self.store.version() is None:
             return self.build(root) | {"path": "full"}
         old = self.store.tables()
-        files = discover(self.spark, root).persist()
-        stale = store.stale_files(old["file_meta"], files.select("file", "content_hash")).persist()
+        work, files = Work(self.spark, "sync"), discover(self.spark, root)
+        stale = work.save(store.stale_files(old["file_meta"], files.select("file", "content_hash")), "stale")
         changes = {r.change: r["count"] for r in stale.groupBy("change").count().collect()}
         if not changes:
             return self.status() | {"path": "none"}
         if changes.keys() - {"changed"}:
             return self.build(root) | {"path": "full"}
         changed = stale.select("file")
-        new_parsed = parse_files(files.join(changed, "file", "left_semi")).persist()
-        new_nodes = node_table(new_parsed, self.repo, "", self.entry_points, self.patterns).persist()
+        new_parsed = work.save(parse_files(files.join(changed, "file", "left_semi")), "parsed")
+        new_nodes = work.save(node_table(new_parsed, self.repo, "", self.entry_points, self.patterns), "nodes")
         old_nodes = old["node"].join(changed, "file", "left_semi")
         if not store.differing(old_nodes, new_nodes, _IDENTITY).isEmpty():
             return self.build(root) | {"path": "full"}
-        parsed = store.replace_by_file(old["parsed_file"], new_parsed, changed).persist()
-        nodes = store.replace_by_file(old["node"], new_nodes, changed).persist()
+        parsed = store.replace_by_file(old["parsed_file"], new_parsed, changed)
+        nodes = store.replace_by_file(old["node"], new_nodes, changed)
         part = build(parsed, nodes, changed, old["supertypes"])
         ids = new_nodes.select(F.col("id").alias("from_id"))
         above = lambda df: df.where(F.col("type").isin("EXTENDS", "IMPLEMENTS"))
@@ -85,6 +86,7 @@ class Engine:
         proof = old["evidence"].join(kept["edge"].select(F.col("id").alias("edge_id")), "edge_id", "left_semi").unionByName(part["evidence"])
         still = kept["unresolved_reference"].unionByName(part["unresolved_reference"].select(*old["unresolved_reference"].columns))
         self._write(parsed, nodes, {"edge": edge, "evidence": proof, "unresolved_reference": still, "supertypes": old["supertypes"]})
+        work.drop()
         return self.status() | {"path": "fast"}
 
     # Questions

@@ -112,11 +112,12 @@ def occurrences(index: bytes) -> Iterator[dict]:
 
 def read_occurrences(files: DataFrame) -> DataFrame:
     """OCCURRENCE rows of indexes (file, content). An index is one message, so a file is one task's."""
+    schema = StructType.fromDDL(OCCURRENCE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kind = to_arrow_schema(StructType.fromDDL(OCCURRENCE))
+        kind = to_arrow_schema(schema)
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 rows = list(occurrences(content))
@@ -165,11 +166,12 @@ def parse_symbol(symbol: str) -> dict:
 
 def parse_symbols(symbols: DataFrame) -> DataFrame:
     """SYMBOL rows of distinct symbols (symbol)."""
+    schema = StructType.fromDDL(SYMBOL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kind = to_arrow_schema(StructType.fromDDL(SYMBOL))
+        kind = to_arrow_schema(schema)
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_pylist([parse_symbol(s) for s in batch.column(0).to_pylist()], schema=kind)
