@@ -1,4 +1,4 @@
-"""Command line: build, sync, status, explore, watch and debug an index."""
+"""Command line: build, sync, status, explore, watch, debug and measure an index."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from codeloom.operators import metrics
+from codeloom.plans import measure
 from codeloom.plans.engine import Engine
+from codeloom.sources import config
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -30,6 +33,10 @@ def main(argv: list[str] | None = None) -> int:
     w.add_argument("log")
     w.add_argument("--checkpoint", required=True)
     w.add_argument("--debounce", default="2 seconds")
+    b = sub.add_parser("measure")
+    b.add_argument("root")
+    b.add_argument("--gates", help="YAML file of release gates")
+    b.add_argument("--truth", help="YAML file of expected nodes, edges and queries")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("codeloom").getOrCreate()
     engine = Engine(spark, a.index)
@@ -41,6 +48,15 @@ def main(argv: list[str] | None = None) -> int:
         out = engine.status()
     elif a.command == "debug":
         out = engine.debug_graph(a.symbol)
+    elif a.command == "measure":
+        out = measure.record(engine, a.root)
+        if a.truth:
+            out |= measure.evaluate(engine, config.ground_truth(spark, a.truth)).first().asDict()
+        gates = None
+        if a.gates:
+            gates = metrics.gates(spark.createDataFrame(config.metrics_of(out), "key string, value double"), config.release_gates(spark, a.gates))
+        print(measure.report(out, gates))
+        return int(gates is not None and metrics.overall(gates).first().status == "FAIL")
     elif a.command == "explore":
         out = engine.explore(a.query, a.task, a.max_tokens, a.depth, a.min_confidence)
     else:

@@ -22,29 +22,44 @@ def first_tier(hits: DataFrame, ref: str = "ref", tier: str = "tier", target: st
     return grouped.groupBy(ref).agg(F.min_by(F.struct(tier, "candidates"), tier).alias("best")).select(ref, f"best.{tier}", "best.candidates")
 
 
-def resolve_types(refs: DataFrame, types: DataFrame, imports: DataFrame, wildcards: DataFrame, global_fallback: bool) -> DataFrame:
-    """(ref, tier, candidates) of type names.
+def winning_names(refs: DataFrame, types: DataFrame, imports: DataFrame, wildcards: DataFrame, global_fallback: bool) -> DataFrame:
+    """(ref, tier, keys): the names under which a reference's first tier with any hit finds types; see ``resolve_types``.
 
-    ``refs`` (ref, file, package, owner, simple), ``types`` (id, qualified_name, simple_name), ``imports`` (file, simple,
-    qualified_name), ``wildcards`` (file, package). Tiers: 1 explicit import; 2 type nested in an enclosing one, innermost
-    first; 3 same package; 4 all wildcard imports; 5 java.lang; 6, with ``global_fallback``, any type of that simple name.
+    Only names are compared here: how many types a name has doesn't multiply any row.
     """
-    by_name = types.select(F.col("qualified_name").alias("qname"), F.col("id").alias("target"))
+    known = name_groups(types).select("key")
     dotted = lambda prefix: F.concat(prefix, F.when(prefix == "", "").otherwise("."), F.col("simple"))
     wanted = [
-        refs.join(imports, ["file", "simple"]).select("ref", F.lit(1.0).alias("tier"), F.col("qualified_name").alias("qname")),
+        refs.join(imports, ["file", "simple"]).select("ref", F.lit(1.0).alias("tier"), F.col("qualified_name").alias("key")),
         refs.select("ref", "simple", F.posexplode(enclosing_types(F.col("owner"))).alias("depth", "outer")).select(
-            "ref", (2 + F.col("depth") / 1000).alias("tier"), F.concat("outer", F.lit("."), "simple").alias("qname")
+            "ref", (2 + F.col("depth") / 1000).alias("tier"), F.concat("outer", F.lit("."), "simple").alias("key")
         ),
-        refs.select("ref", F.lit(3.0).alias("tier"), dotted(F.col("package")).alias("qname")),
-        refs.join(wildcards.select("file", F.col("package").alias("wild")), "file").select("ref", F.lit(4.0).alias("tier"), dotted(F.col("wild")).alias("qname")),
-        refs.select("ref", F.lit(5.0).alias("tier"), F.concat(F.lit("java.lang."), "simple").alias("qname")),
+        refs.select("ref", F.lit(3.0).alias("tier"), dotted(F.col("package")).alias("key")),
+        refs.join(wildcards.select("file", F.col("package").alias("wild")), "file").select("ref", F.lit(4.0).alias("tier"), dotted(F.col("wild")).alias("key")),
+        refs.select("ref", F.lit(5.0).alias("tier"), F.concat(F.lit("java.lang."), "simple").alias("key")),
     ]
-    hits = reduce(DataFrame.unionByName, wanted).join(by_name, "qname").select("ref", "tier", "target")
     if global_fallback:
-        anywhere = types.select(F.col("simple_name").alias("simple"), F.col("id").alias("target"))
-        hits = hits.unionByName(refs.select("ref", "simple").join(anywhere, "simple").select("ref", F.lit(6.0).alias("tier"), "target"))
-    return first_tier(hits)
+        wanted.append(refs.select("ref", F.lit(6.0).alias("tier"), F.concat(F.lit("*."), "simple").alias("key")))
+    hits = reduce(DataFrame.unionByName, wanted).join(known, "key", "left_semi")
+    return first_tier(hits, target="key").withColumnRenamed("candidates", "keys")
+
+
+def name_groups(types: DataFrame) -> DataFrame:
+    """(key, candidates, n, first) of each qualified name, and of each simple name after ``*.``."""
+    keyed = types.select(F.explode(F.array("qualified_name", F.concat(F.lit("*."), "simple_name"))).alias("key"), "id")
+    return keyed.groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("candidates")).withColumns({"n": F.size("candidates"), "first": F.col("candidates")[0]})
+
+
+def resolve_types(refs: DataFrame, types: DataFrame, imports: DataFrame, wildcards: DataFrame, global_fallback: bool) -> DataFrame:
+    """(ref, tier, candidates) of type names.
+
+    ``refs`` (ref, file, package, owner, simple), ``types`` (id, qualified_name, simple_name), ``imports`` (file, simple,
+    qualified_name), ``wildcards`` (file, package). Tiers: 1 explicit import; 2 type nested in an enclosing one, innermost
+    first; 3 same package; 4 all wildcard imports; 5 java.lang; 6, with ``global_fallback``, any type of that simple name.
+    """
+    won = winning_names(refs, types, imports, wildcards, global_fallback).select("ref", "tier", F.explode("keys").alias("key"))
+    each = won.join(name_groups(types), "key").groupBy("ref", "tier").agg(F.flatten(F.collect_list("candidates")).alias("candidates"))
+    return each.select("ref", "tier", F.array_sort(F.array_distinct("candidates")).alias("candidates"))
 
 
 def owner_chain(starts: DataFrame, closure: DataFrame, methods: DataFrame) -> DataFrame:

@@ -15,17 +15,27 @@ from codeloom.schema import BLIND_UNIQUE, DECLARED, STRUCTURAL, TYPE_KINDS
 from codeloom.work import Work
 
 PROVENANCE, PARSER = "tree_sitter_java", "codeloom-java-1"
-#: Annotations of entry points.
+#: Annotations of entry points and their kinds.
 ENTRY_POINTS = {
-    "RestController": "HTTP_CONTROLLER", "Controller": "HTTP_CONTROLLER",
-    "GetMapping": "HTTP_ROUTE", "PostMapping": "HTTP_ROUTE", "PutMapping": "HTTP_ROUTE", "DeleteMapping": "HTTP_ROUTE", "PatchMapping": "HTTP_ROUTE",
-    "RequestMapping": "HTTP_ROUTE", "Scheduled": "SCHEDULED", "KafkaListener": "MESSAGE_LISTENER", "RabbitListener": "MESSAGE_LISTENER",
-}
+    "RestController": "HTTP_CONTROLLER",
+    "Controller": "HTTP_CONTROLLER",
+    "RequestMapping": "HTTP_ROUTE",
+    "GetMapping": "HTTP_ROUTE",
+    "PostMapping": "HTTP_ROUTE",
+    "PutMapping": "HTTP_ROUTE",
+    "DeleteMapping": "HTTP_ROUTE",
+    "PatchMapping": "HTTP_ROUTE",
+    "Scheduled": "SCHEDULED",
+    "KafkaListener": "MESSAGE_LISTENER",
+    "JmsListener": "MESSAGE_LISTENER",
+    "RabbitListener": "MESSAGE_LISTENER",
+}
 
 
 def node_table(parsed: DataFrame, repo: str, commit: str = "", annotations: dict[str, str] | None = None, suffixes: dict[str, str] | None = None) -> DataFrame:
     """The nodes of parsed files. ``annotations`` and ``suffixes`` (of supertypes' names) tell entry points' kinds."""
-    table = F.create_map(*(F.lit(x) for kv in (annotations or ENTRY_POINTS).items() for x in kv))
+    known_kinds = ENTRY_POINTS if annotations is None else annotations
+    table = F.create_map(*(F.lit(x) for kv in (known_kinds or {"": ""}).items() for x in kv))
     each = parsed.select("file", "type_refs", F.explode("nodes").alias("n")).select("file", "type_refs", "n.*")
     known = F.filter(F.transform("annotations", lambda a: table[a]), lambda k: k.isNotNull())
     kind = F.get(known, F.lit(0))

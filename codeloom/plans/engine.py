@@ -13,6 +13,7 @@ from codeloom.operators import graph, metrics, rank, resolve, search, store
 from codeloom.plans.build import build, node_table
 from codeloom.plans.snapshot import SnapshotStore
 from codeloom.schema import TYPE_KINDS
+from codeloom.sources import config
 from codeloom.sources.files import discover, parse_files, parse_with_cache
 from codeloom.work import Work
 
@@ -30,13 +31,18 @@ class Engine:
 
     # Indexing
 
+    def _nodes(self, parsed: DataFrame, root: str) -> DataFrame:
+        """Nodes of parsed files; entry points are as given, or as the repository's own file has them."""
+        annotations, patterns = config.entry_points(self.spark, root)
+        return node_table(parsed, self.repo, config.git_head(self.spark, root), self.entry_points or annotations, self.patterns or patterns)
+
     def build(self, root: str) -> dict:
         """Index all files anew; files whose content is known aren't parsed again."""
         files = discover(self.spark, root)
         parsed = parse_files(files) if self.store.version() is None else parse_with_cache(files, self.store.read("parsed_file"))
         work = Work(self.spark, "index")
         parsed = work.save(parsed, "parsed")
-        nodes = work.save(node_table(parsed, self.repo, "", self.entry_points, self.patterns), "nodes")
+        nodes = work.save(self._nodes(parsed, root), "nodes")
         tables = build(parsed, nodes)
         self._write(parsed, nodes, tables)
         work.drop()
@@ -69,7 +75,7 @@ class Engine:
             return self.build(root) | {"path": "full"}
         changed = stale.select("file")
         new_parsed = work.save(parse_files(files.join(changed, "file", "left_semi")), "parsed")
-        new_nodes = work.save(node_table(new_parsed, self.repo, "", self.entry_points, self.patterns), "nodes")
+        new_nodes = work.save(self._nodes(new_parsed, root), "nodes")
         old_nodes = old["node"].join(changed, "file", "left_semi")
         if not store.differing(old_nodes, new_nodes, _IDENTITY).isEmpty():
             return self.build(root) | {"path": "full"}

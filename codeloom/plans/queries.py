@@ -215,11 +215,12 @@ def evidence_dedup(spark, sf):
 
 
 def _named_calls(spark, sf):
-    """Order lines as references to a part by its name alone."""
+    """Order lines as references to a part by its name alone; the candidates are those of the name."""
     line, part = table(spark, sf, "lineitem"), table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"))
-    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(part_names(spark, sf).where(F.size("ids") > 1), "name")
+    several = part.groupBy("name").count().where("count > 1").select("name")
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(several, "name", "left_semi")
     return rows.select(
-        F.concat(F.lit("orders:"), "l_orderkey").alias("from_id"), F.lit("CALLS").alias("type"), F.col("name").alias("target_name"), F.col("ids").alias("candidates"),
+        F.concat(F.lit("orders:"), "l_orderkey").alias("from_id"), F.lit("CALLS").alias("type"), F.col("name").alias("target_name"), F.array("name").alias("candidates"),
         F.lit("ambiguous_global_fallback").alias("reason"), F.concat(F.lit("ship/"), F.date_format("l_shipdate", "yyyy-MM")).alias("file"), F.col("l_linenumber").alias("line"),
     )
 
@@ -233,8 +234,8 @@ SELECT substr(sha256(from_id || '|CALLS|' || target_name), 1, 16) AS id, from_id
 FROM raw JOIN named ON target_name = p_name GROUP BY from_id, target_name
 """)
 def unresolved_merge(spark, sf):
-    out = merge.merge_unresolved(_named_calls(spark, sf))
-    return out.withColumns({"n_candidates": F.size("candidates"), "first_candidate": F.array_min("candidates")}).drop("candidates")
+    names = part_names(spark, sf).select(F.col("name").alias("target_name"), F.size("ids").alias("n_candidates"), F.array_min("ids").alias("first_candidate"))
+    return merge.merge_unresolved(_named_calls(spark, sf)).drop("candidates").join(names, "target_name")
 
 
 @query("""
@@ -279,8 +280,9 @@ def type_resolution_tiers(spark, sf):
     refs = refs.select(F.concat_ws("/", "file", "simple").alias("ref"), "file", "package", F.concat_ws(".", F.lit("order"), "file").alias("owner"), "simple")
     imports = rows.where("l_returnflag = 'R'").groupBy("file", "simple").agg(F.max("p_brand").alias("b")).select("file", "simple", F.concat_ws(".", "b", "simple").alias("qualified_name"))
     wild = rows.where("l_linestatus = 'F'").select("file", F.col("p_brand").alias("package")).distinct()
-    out = resolve.resolve_types(refs, types, imports, wild, True)
-    return out.select("ref", "tier", F.size("candidates").alias("n"), F.array_min("candidates").alias("first"))
+    won = resolve.winning_names(refs, types, imports, wild, True).select("ref", "tier", F.explode("keys").alias("key"))
+    groups = resolve.name_groups(types).select("key", "n", "first")  # names of one tier share no type
+    return won.join(groups, "key").groupBy("ref", "tier").agg(F.sum("n").cast("int").alias("n"), F.min("first").alias("first"))
 
 
 @query("""

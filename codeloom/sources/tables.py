@@ -11,8 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators.merge import merge_edges
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,8 +71,8 @@ def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(from_id, to_id, type, confidence, ambiguous_candidates) of the whole graph."""
-    calls = merge_edges(raw_calls(spark, sf_dir)).select("from_id", "to_id", "type", "confidence", "ambiguous_candidates")
-    return calls.unionByName(structure(spark, sf_dir).withColumn("ambiguous_candidates", F.array().cast("array<string>")))
+    calls = raw_calls(spark, sf_dir).groupBy("from_id", "to_id", "type").agg(F.max("confidence").alias("confidence"))
+    return calls.unionByName(structure(spark, sf_dir)).withColumn("ambiguous_candidates", F.array().cast("array<string>"))
 
 
 def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:

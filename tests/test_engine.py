@@ -7,8 +7,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.operators import metrics
+from codeloom.plans import measure
 from codeloom.plans.engine import Engine
 from codeloom.plans.overlay import overlay
+from codeloom.sources import config
 from codeloom.sources.files import discover
 from codeloom.sources.scip import fields, four, occurrences, parse_symbol, read_occurrences
 from codeloom.streaming.watch import watch
@@ -155,3 +158,25 @@ def test_overlay(spark, source, tmp_path):
     assert (r.typed_refs, r.mapped, r.merged, r.added, r.unmapped_symbols) == (4, 3, 2, 1, 1)
     again, _ = overlay(occ, e.store.read("node"), out)
     assert again.count() == out.count()
+
+
+def test_measurement(spark, source, tmp_path):
+    (tmp_path / "truth.yaml").write_text(
+        "nodes:\n- {qualified_name: p.Disc, kind: class}\n- {qualified_name: p.Shape, kind: interface}\n- {qualified_name: p.Nowhere, kind: class}\n"
+        "edges:\n- {from: p.Disc, to: p.Shape, type: IMPLEMENTS, resolvable: true}\nqueries:\n- {query: Disc, k: 5, expected_any_of: [p.Disc]}\n"
+    )
+    (tmp_path / "gates.yaml").write_text("release_gates:\n  parse_error_rate: {op: '<=', value: 0.0}\n  deterministic_rebuild: {op: '==', value: true}\n  absent: {op: '>', value: 1}\n")
+    os.makedirs(f"{source}/.codeloom")
+    open(f"{source}/.codeloom/entrypoints.yaml", "w").write("implements_patterns: {Shape: RPC_PROVIDER}\nannotations: [not, a, mapping]\n")
+    e = Engine(spark, f"{tmp_path}/index")
+    values = measure.record(e, source, queries=2)
+    assert values["files"] == 6 and values["deterministic_rebuild"] and values["parse_error_rate"] == 0 and values["edges_ambiguous"] == 2
+    assert {(r.simple_name, r.entry_point_kind) for r in e.store.read("node").where("is_entry_point").collect()} == {("Disc", "RPC_PROVIDER"), ("Main", "HTTP_CONTROLLER")}
+    row = measure.evaluate(e, config.ground_truth(spark, f"{tmp_path}/truth.yaml")).first()
+    assert row.node_recall == pytest.approx(2 / 3) and (row.edge_precision, row.edge_recall, row.ambiguity_recall, row.topk_recall) == (1, 1, None, 1)
+    gates = metrics.gates(spark.createDataFrame(config.metrics_of(values), "key string, value double"), config.release_gates(spark, f"{tmp_path}/gates.yaml"))
+    assert {r.key: r.status for r in gates.collect()} == {"parse_error_rate": "PASS", "deterministic_rebuild": "PASS", "absent": "SKIP"}
+    assert metrics.overall(gates).first().status == "SKIP" and "_not measured_" in measure.report({**values, "x": None}, gates)
+    assert config.metrics_command(spark, ["false"]) is None and config.metrics_command(spark, ["echo", '{"a": {"b": 1}}']).first().key == "a.b"
+    open(f"{source}/.codeloom/entrypoints.yaml", "w").write(": not yaml [")
+    assert config.entry_points(spark, source)[1] == {} and config.git_head(spark, source) == ""

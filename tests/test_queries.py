@@ -22,7 +22,8 @@ def _rows(df):
     def plain(v):
         if v is None or v is pd.NA or isinstance(v, float) and v != v:
             return None
-        return v.item() if hasattr(v, "item") else v
+        v = v.item() if hasattr(v, "item") else v
+        return int(v) if isinstance(v, float) and v.is_integer() else v  # whole numbers beside nulls
 
     df = df[sorted(df.columns)]
     return sorted(repr(tuple(map(plain, r))) for r in df.itertuples(index=False, name=None))
