@@ -54,18 +54,21 @@ def valid_unit(x: np.ndarray) -> np.ndarray:
 
 
 def classes(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(vec_id, cls) of each row, cls null where it links with nothing; and (cls, v, size) of each class.
+    """(vec_id, name) of each row, name null where it links with nothing; and (cls, name, least, v, size) of each class.
 
-    A class is named by 128 bits of hashes of its components.
+    A class is named by 128 bits of hashes of its components. ``cls`` puts its smallest vec_id before that, as hexadecimal
+    digits that sort as the number does, so the smallest class of a component tells the component's smallest vec_id.
     """
     v = F.transform("embedding", lambda e: e.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     ok = F.col("v").isNotNull() & finite & F.exists("v", lambda e: e != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).withColumn("ok", F.coalesce(ok, F.lit(False)))
     name = F.concat(F.lpad(F.hex(F.xxhash64("v")), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), F.reverse("v"))), 16, "0"))
-    rows = rows.select("vec_id", F.when(F.col("ok"), name).alias("cls"), "v")
-    distinct = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"), F.any_value("v").alias("v"))
-    return scratch.save(rows.select("vec_id", "cls"), "rows"), scratch.save(distinct, "classes")
+    rows = rows.select("vec_id", F.when(F.col("ok"), name).alias("name"), "v")
+    distinct = rows.where("name is not null").groupBy("name").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"), F.any_value("v").alias("v"))
+    order = F.lpad(F.hex(F.coalesce("least", F.lit(2**63 - 1)).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    distinct = distinct.select(F.concat(order, "name").alias("cls"), "name", "least", "v", "size")
+    return scratch.save(rows.select("vec_id", "name"), "rows"), scratch.save(distinct, "classes")
 
 
 def _bucket_rows(distinct: DataFrame, rotations: np.ndarray, mean: np.ndarray, bits: int, tables: int) -> DataFrame:
@@ -160,11 +163,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     found = scratch.save(found, "links")
     count = found.groupBy("cls").agg(F.sum("n").alias("n"))
     comps = connected_components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")), scratch).withColumnsRenamed({"node": "cls", "component": "comp"})
-    named = distinct.select("cls", "size", "least").join(comps, "cls", "left").join(count, "cls", "left")
-    named = named.select("cls", "size", "least", F.coalesce("comp", "cls").alias("comp"), (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "comp").select("cls", "n_links", "component_id")
-    out = rows.join(named, "cls", "left")
+    named = distinct.join(comps, "cls", "left").join(count, "cls", "left")
+    least = (F.conv(F.substring("comp", 1, 16), 16, 10).cast("decimal(20,0)") - F.expr("cast(9223372036854775808 as decimal(20, 0))")).cast("long")
+    component = F.when(F.col("comp").isNull(), F.col("least")).when(~F.col("comp").startswith("F" * 16), least)
+    named = named.select("name", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), component.alias("component_id"))
+    out = rows.join(named, "name", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
