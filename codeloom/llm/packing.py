@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
