@@ -46,7 +46,7 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+    def _learn(self, pieces: list[str]) -> list[bytes]:
         joined = [self.mark.join(pieces[at : at + 256]) + self.mark for at in range(0, len(pieces), 256)]
         out: list[bytes] = []
         for ids in self._ids(joined):
@@ -54,20 +54,20 @@ class WordEncoder:
             for end in (np.flatnonzero(ids == self.mark_id) * 4).tolist():
                 out.append(raw[begin:end])
                 begin = end + 4
-        return dict(zip(pieces, out, strict=True))
+        return out
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each of a batch's distinct pieces."""
         memo = self.memo
-        got = [memo.get(p) for p in pieces]
-        new = [p for p, b in zip(pieces, got, strict=True) if b is None]
-        if not new:
-            return got
-        found = self._learn(new)
+        got = list(map(memo.get, pieces))
+        new = [k for k, b in enumerate(got) if b is None]
         if len(memo) + len(new) > self.limit:
             memo.clear()
-        memo.update((p, b) for p, b in found.items() if len(p) <= self.longest)
-        return [found[p] if b is None else b for p, b in zip(pieces, got, strict=True)]
+        for k, b in zip(new, self._learn([pieces[k] for k in new]), strict=True):
+            got[k] = b
+            if len(pieces[k]) <= self.longest:
+                memo[pieces[k]] = b
+        return got
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts, and where each text's end."""
