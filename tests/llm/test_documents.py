@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codeloom.llm import line_dedup, quality, simhash
+from codeloom.llm import line_dedup, near_dedup, quality, simhash
 from codeloom.llm.common import Scratch, connected_components, union_labels
 
 # Quality
@@ -202,6 +202,50 @@ def test_op8(spark, sf):
     assert [r.fingerprint for r in got] == [f"{f:016x}" for f in fps.tolist()]
 
 
+# Near-dedup of the pipeline
+
+
+def _jaccard_components(texts, least=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    return union_labels(len(texts), *np.array(near).reshape(-1, 2).T.astype(int))
+
+
+def test_near_copies_beyond_three_bits_go(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT", 16)
+    r = np.random.default_rng(5)
+    vocabulary = np.array(["".join(r.choice(list("abcdefghij"), 6)) for _ in range(3000)])
+    texts = []
+    for _ in range(60):
+        words = r.choice(vocabulary, 200)
+        texts.append(" ".join(words))
+        for edits in r.integers(0, 7, 3):  # six edits: similarity about 0.74
+            copy = words.copy()
+            copy[r.integers(0, 200, edits)] = "changed"
+            texts.append(" ".join(copy))
+    base = r.choice(vocabulary, 200)
+    for k in range(60):  # a large group of near copies
+        copy = base.copy()
+        copy[r.integers(0, 200, 2)] = f"x{k}"
+        texts.append(" ".join(copy))
+    label = _jaccard_components(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {x.doc_id for x in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
+    assert kept == set(label.tolist())
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    assert any((fps[k] ^ fps[label[k]]).bit_count() > 3 for k in range(len(texts)))
+
+
+def test_near_dedup_on_odd_tables(odd_docs, no_docs):
+    kept = near_dedup.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.dtypes == odd_docs.dtypes
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, None, 7, 8, 9, 10]))
+    assert near_dedup.keep_one(no_docs).count() == 0 and near_dedup.keep_one(odd_docs.where("doc_id = 5")).count() == 1
+
+
 # Pipeline
 
 
