@@ -14,7 +14,7 @@ candidates near the last place are ranked again by sums in one fixed order, and
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows of null vec_id;
 vectors of other lengths are searched among their own; rows of equal vec_id are candidates one by one, but never for a query
-of that vec_id; fewer than ``k`` candidates give all of them; an empty table gives no rows; only vec_id and embedding are
+of that vec_id; query rows of equal vec_id and vector are one query, those of other vectors have a list each; fewer than ``k`` candidates give all of them; an empty table gives no rows; only vec_id and embedding are
 read.
 """
 
@@ -181,7 +181,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    best = found.groupBy("query_id", "q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
     best = best.select("query_id", F.posexplode("best").alias("at", "b"))
     return best.select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.minus")).alias("score"))
 
@@ -206,17 +206,18 @@ def _search(rows: DataFrame, d: int, n: int, k: int, scratch: Scratch) -> DataFr
     routed = scratch.save(rows.mapInArrow(route, "vec_id long, v binary, part int, probed array<int>"), f"routed-{d}")
     counts = {r.part: r["count"] for r in routed.groupBy("part").count().collect()}  # a row for each part
     chunks = F.create_map(*(F.lit(x) for p, c in counts.items() for x in (p, -(-c // CHUNK)))) if counts else F.lit(None)
-    index = routed.select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id", F.lit(9)), chunks[F.col("part")]).cast("int").alias("chunk"), F.lit(False).alias("query"))
-    asked = routed.where("probed is not null").select("vec_id", "v", F.explode("probed").alias("part"))
+    index = routed.select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id", F.lit(9)), chunks[F.col("part")]).cast("int").alias("chunk"), F.lit(False).alias("query"), F.lit(0).cast("long").alias("q"))
+    asked = routed.where("probed is not null").select("vec_id", "v", "probed").dropDuplicates(["vec_id", "v"])
+    asked = asked.select("vec_id", "v", F.explode("probed").alias("part"))
     asked = asked.where(chunks[F.col("part")].isNotNull())
-    asked = asked.select("vec_id", "v", "part", F.explode(F.sequence(F.lit(0), chunks[F.col("part")] - 1)).alias("chunk"), F.lit(True).alias("query"))
+    asked = asked.select("vec_id", "v", "part", F.explode(F.sequence(F.lit(0), chunks[F.col("part")] - 1)).alias("chunk"), F.lit(True).alias("query"), F.xxhash64("v").alias("q"))
     both = index.unionByName(asked).repartition(n_partitions(spark), "part", "chunk").sortWithinPartitions("part", "chunk", "query")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held_ids, held = None, [], []
         kind = pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())]))
         for b in batches:
-            ids, part, chunk, query = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4))
+            ids, part, chunk, query, q = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4, 5))
             v = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.float64).reshape(-1, d)
             begin = 0
             for end in group_ends(part, chunk, query).tolist():
@@ -230,10 +231,10 @@ def _search(rows: DataFrame, d: int, n: int, k: int, scratch: Scratch) -> DataFr
                     for lo in range(begin, end, 512):
                         hi = min(end, lo + 512)
                         best = [[{"minus": -x, "vec_id": i} for i, x in zip(i.tolist(), s.tolist(), strict=True)] for i, s in best_of(v[lo:hi], ids[lo:hi], held[0], held_ids[0], k)]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(best, kind)], names=["query_id", "best"])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(q[lo:hi]), pa.array(best, kind)], names=["query_id", "q", "best"])
                 begin = end
 
-    return both.mapInArrow(rank, "query_id long, best array<struct<minus: double, vec_id: long>>")
+    return both.mapInArrow(rank, "query_id long, q long, best array<struct<minus: double, vec_id: long>>")
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

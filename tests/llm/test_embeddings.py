@@ -35,6 +35,16 @@ def test_links_equal_brute_force(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in rows)
 
 
+def test_repeated_query_rows(spark):
+    x = np.random.default_rng(8).normal(size=(60, 8))
+    one = neighbours.search(_frame(spark, x), F.col("vec_id") == 0).orderBy("rank").collect()
+    again = [(0, [float(e) for e in x[0]], 1, "c", None)] * 2
+    many = neighbours.search(_frame(spark, x, again), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [tuple(r) for r in many] == [tuple(r) for r in one] and len({r.vec_id for r in many}) == 20
+    other = neighbours.search(_frame(spark, x, [*again, (0, [float(-e) for e in x[0]], 1, "c", None)]), F.col("vec_id") == 0).collect()
+    assert sorted(r["rank"] for r in other) == sorted([*range(1, 21)] * 2) and {tuple(r) for r in one} <= {tuple(r) for r in other}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     odd = [None, [0, 0, 0], [nan, 1, 2], [inf, 1, 2], [None, 1, 2], [], [1, 2, 3], [2, 4, 6], [1, 2, 3, 4], [1, 2, 3], [-0.0, 0, 1], [0.0, 0, 1]]
