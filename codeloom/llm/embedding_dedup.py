@@ -3,8 +3,10 @@
 Equal vectors are one class, so copies cost nothing. Rotations that balance binary codes are learned by iterative
 quantisation on a bounded sample (``SAMPLE`` vectors); each gives as many bits as there are dimensions. The bits are cut
 into substrings of ``s`` bits, one Hamming table each, where ``s`` grows with the logarithm of the number of classes. The
-number of tables is chosen so that two vectors at the threshold itself miss each other in all of them once in 1,000 cases,
-for bits that differ as those of a random rotation do; closer pairs miss less. Vectors that share a substring meet in a
+number of tables is chosen so that two vectors at the threshold itself miss each other in all of them once in 1,000 cases:
+vectors of the sample are turned by the threshold's angle in random directions, and what share of the bits agrees is taken
+from the angles after centring and from the learned rotations; closer pairs miss less. Where the mean is so long that this
+takes over ``MOST`` times the tables of uncentred vectors, codes are random rotations of the vectors as they are. Vectors that share a substring meet in a
 bucket, where their cosine is computed from the original vectors in double precision. A pair counts in the first table that
 it shares, so counts need no list of pairs.
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import Scratch, connected_components, group_ends, n_partitions, union_labels, whole_groups
 
-SAMPLE, CHUNK, MISS = 20_000, 512, 1e-3
+SAMPLE, CHUNK, MISS, PAIRS, MOST = 20_000, 512, 1e-3, 4_000, 8
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = 30) -> np.ndarray:
@@ -42,11 +44,36 @@ def learn_rotation(x: np.ndarray, seed: int, rounds: int = 30) -> np.ndarray:
     return rotation
 
 
-def plan(n: int, cosine: float) -> tuple[int, int]:
-    """(bits of a substring, tables) for ``n`` classes."""
+def plan(n: int, differ: float | np.ndarray) -> tuple[int, int]:
+    """(bits of a substring, tables) for ``n`` classes and the shares of bits that differ in pairs at the threshold."""
     s = int(np.clip(np.ceil(np.log2(max(n, 2))) - 4, 6, 24))
-    same = (1 - np.arccos(cosine) / np.pi) ** s
-    return s, int(np.ceil(np.log(MISS) / np.log(1 - same)))
+    same = (1 - np.atleast_1d(differ)) ** s
+    tables = int(np.ceil(np.log(MISS) / np.log(1 - same.max())))
+    while tables < 10_000 and ((1 - same) ** tables).mean() > MISS:
+        tables += 1
+    return s, tables
+
+
+def coding(x: np.ndarray, n: int, cosine: float, seed: int) -> tuple[np.ndarray, list[np.ndarray], int, int]:
+    """(mean, rotations, bits, tables) for ``n`` classes from unit vectors ``x`` of a sample."""
+    d = x.shape[1]
+    mean = x.mean(axis=0) if len(x) > d else np.zeros(d)
+    rng = np.random.default_rng(seed)
+    own = x[rng.permutation(len(x))[:PAIRS]]
+    aside = rng.normal(size=own.shape)
+    aside -= (aside * own).sum(axis=1, keepdims=True) * own
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-300)
+    a, b = own - mean, cosine * own + np.sqrt(1 - cosine**2) * aside - mean
+    length = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+    angle = np.arccos(np.clip((a * b).sum(axis=1) / np.maximum(length, 1e-300), -1, 1)) / np.pi
+    first = [learn_rotation(x - mean, seed + k) for k in range(2)]
+    learned = np.mean([((a @ r >= 0) != (b @ r >= 0)).mean() for r in first])
+    plain = plan(n, np.arccos(cosine) / np.pi)
+    bits, tables = plan(n, np.minimum(angle * max(1, learned / max(angle.mean(), 1e-12)), 0.5))
+    if d > 1 and tables > MOST * plain[1]:
+        bits, tables = plain
+        return np.zeros(d), [learn_rotation(x, seed + k, rounds=0) for k in range(-(-bits * tables // d))], bits, tables
+    return mean, [first[k] if k < 2 else learn_rotation(x - mean, seed + k) for k in range(-(-bits * tables // d))], bits, tables
 
 
 def valid_unit(x: np.ndarray) -> np.ndarray:
@@ -101,9 +128,7 @@ def links(distinct: DataFrame, d: int, n: int, scratch: Scratch, cosine: float,
     spark = distinct.sparkSession
     sample = distinct.select("cls", "v").orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("v").collect()
     x = valid_unit(np.array([r.v for r in sample], dtype=np.float64).reshape(-1, d))
-    mean = x.mean(axis=0) if len(x) > d else np.zeros(d)
-    bits, tables = plan(n, cosine)
-    rotations = [learn_rotation(x - mean, seed + k) for k in range(-(-bits * tables // d))]
+    mean, rotations, bits, tables = coding(x, n, cosine, seed)
     rows = scratch.save(_bucket_rows(distinct, rotations, mean, bits, tables), f"buckets-{d}")
     counts = rows.groupBy("t", "key").agg(F.count("*").alias("rows")).where("rows > 1")
     rows = rows.join(counts, ["t", "key"]).withColumn("chunks", F.ceil(F.col("rows") / CHUNK).cast("int"))

@@ -35,6 +35,18 @@ def test_links_equal_brute_force(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in rows)
 
 
+def test_tables_suffice_for_a_long_mean():
+    r = np.random.default_rng(7)
+    for length in (0.0, 0.8, 0.9, 0.99):
+        x = r.normal(size=(6000, 32))
+        x = embedding_dedup.valid_unit(x / np.linalg.norm(x, axis=1, keepdims=True) * np.sqrt(1 - length**2) + length * np.eye(32)[0])
+        mean, rotations, bits, tables = embedding_dedup.coding(x[:3000], 20_000, 0.95, 5)
+        own, aside = x[3000:], r.normal(size=(3000, 32))
+        aside = embedding_dedup.valid_unit(aside - (aside * own).sum(axis=1, keepdims=True) * own)
+        code = [np.concatenate([(v - mean) @ m >= 0 for m in rotations], axis=1)[:, : bits * tables].reshape(3000, tables, bits) for v in (own, 0.95 * own + np.sqrt(1 - 0.95**2) * aside)]
+        assert (code[0] == code[1]).all(axis=2).any(axis=1).mean() >= 0.995
+
+
 def test_repeated_query_rows(spark):
     x = np.random.default_rng(8).normal(size=(60, 8))
     one = neighbours.search(_frame(spark, x), F.col("vec_id") == 0).orderBy("rank").collect()
