@@ -2,8 +2,9 @@
 
 A few pages of each host, of different main texts, are aligned as trees by simple tree matching. Nodes whose text is the same
 in all of them are the host's template; the others are slots that vary. The wrapper is where the slots' text is: the deepest
-path of labels (tag and classes) that holds at least three fifths of it, widened to the container around it, with the
-template's texts below that. A page's text is what its nodes at that path hold, but for template nodes and the parts that
+path of labels (tag and classes) that holds at least three fifths of it, widened to the article or main element around it;
+where there is none, the deepest container that holds all of it in headings and paragraphs, and 19 of 20 parts of the rest;
+with the template's texts below that. A page's text is what its nodes at that path hold, but for template nodes and the parts that
 are not an article's text by their element or class. A page without such a path is aligned with a reference page of its
 host by tree matching; if that fails too, and for hosts with a single text, its largest article, main element or body is
 taken.
@@ -114,17 +115,22 @@ def induce(htmls: list[str]) -> dict | None:
         same = {k: (n, t) for k, (n, t) in same.items() if other.get(k) == t}
     constant = {(n.path, t) for n, t in same.values()}
     weight: Counter = Counter()
+    prose: Counter = Counter()
     total = 0
     for page in pages:
         for node, text in _text_nodes(page):
             if (node.path, text) not in constant and not _in_link(node):
                 total += len(text)
+                own = len(text) if node.tag == "p" or node.tag in HEADINGS else 0
                 while node:
                     weight[node.path] += len(text)
+                    prose[node.path] += own
                     node = node.parent
     if not total:
         return None
     path = max((p for p, w in weight.items() if 5 * w >= 3 * total), key=lambda p: p.count("/"))
+    if not {p.split(".")[0] for p in path.split("/")} & {"article", "main"}:
+        path = max((p for p, w in weight.items() if 20 * w >= 19 * total and prose[p] == prose[base.path]), key=lambda p: p.count("/"))
     parts = path.split("/")
     while len(parts) > 1 and parts[-1].split(".")[0] not in CONTAINERS:
         parts.pop()

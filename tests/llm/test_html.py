@@ -20,6 +20,15 @@ def test_wrapper():
     assert "Buy" not in got and "First!" not in got and "Popular" not in got and "cookies" not in got
 
 
+def test_title_and_lead_beside_the_body_stay():
+    def page(k):
+        body = f"Sentences of page {k} that go on for long. " * 20
+        return f"<body><div class=top><p>Same on all pages</p></div><div class=post><h1>Title {k}</h1><p class=lead>Lead {k}</p><div class=body><p>{body}</p><p>End {k}</p></div></div><footer>{k}</footer>"
+
+    got = h.main_text(page(9), h.Wrapper(h.induce([page(k) for k in range(5)])))
+    assert got.startswith("Title 9\n\nLead 9\n\nSentences of page 9") and got.endswith("End 9") and "Same" not in got
+
+
 def test_page_of_another_shape_is_aligned():
     w = h.Wrapper(h.induce([_page(k) for k in range(5)]))
     shifted = _page(9).replace('<div class="wrap">', '<div class="wrap wide">')
