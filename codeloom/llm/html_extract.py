@@ -42,6 +42,10 @@ WORDS = set(
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets "
     "pagination pager skip toolbar masthead copyright complementary contentinfo search outbrain taboola".split()
 )
+#: Other words of classes beside those; ids, which slugs of an article's headings may be, have only ``PLACE``.
+PLACE = set("left right top bottom site main primary secondary inner outer wrap wrapper container box bar block area section list".split())
+KIND = PLACE | set("post posts article articles entry page link links button buttons slot unit title heading header text form item items icons media".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 HEADS = {"header"}
 CONTAINERS = set("article main section div td body # form center blockquote".split())
 WHOLE = {"#", "html", "body", "main", "table", "tbody", "tr"}
@@ -68,8 +72,15 @@ def is_other(node: Node) -> bool:
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
         return True
-    words = set(_WORD.findall(f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".lower()))
-    return bool(words & ({"comment", "comments", "reply", "replies"} if node.tag == "article" else WORDS)) or words == {"header"}
+    wanted = {"comment", "comments", "reply", "replies"} if node.tag == "article" else WORDS
+    names = [(c, KIND) for c in f"{a.get('class', '')} {a.get('role', '')}".lower().split()]
+    if node.tag != "p" and node.tag not in HEADINGS:
+        names.append((a.get("id", "").lower(), PLACE))
+    for name, beside in names:
+        words = {w for w in _WORD.findall(name) if len(w) > 1}
+        if words == {"header"} or words & wanted and words <= wanted | beside:
+            return True
+    return False
 
 
 def largest_article(page: Node) -> list[Node]:

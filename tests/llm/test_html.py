@@ -29,6 +29,12 @@ def test_title_and_lead_beside_the_body_stay():
     assert got.startswith("Title 9\n\nLead 9\n\nSentences of page 9") and got.endswith("End 9") and "Same" not in got
 
 
+def test_slugs_of_an_article_are_no_notices():
+    kept = ["<h2 id=related-work>A</h2>", "<section id=social-impact>B</section>", "<h2 id=search-algorithms>C</h2>", "<p id=notice-period>D</p>", "<h3 id=comments>E</h3>", "<div class=has-sidebar>F</div>"]
+    gone = ["<div id=cookie-notice>x</div>", "<div class='ad ad-300x250'>x</div>", "<div class=related-posts>x</div>", "<section id=comments>x</section>", "<div role=navigation>x</div>", "<p class=advert>x</p>"]
+    assert h.main_text("<article>" + "".join(kept + gone) + "</article>", None) == "\n\n".join("ABCDEF")
+
+
 def test_page_of_another_shape_is_aligned():
     w = h.Wrapper(h.induce([_page(k) for k in range(5)]))
     shifted = _page(9).replace('<div class="wrap">', '<div class="wrap wide">')
