@@ -1,11 +1,15 @@
 """Operator 7: lines dropped by a log-template tree. DataFrame functions only.
 
 Every line is parsed down a tree of fixed depth: by its count of tokens, then by its three leading tokens, to a leaf. A
-token with a digit is a variable field, ``<*>``, from the start. In each leaf, fields without digits are found too: eight
+token with a digit is a variable field, ``<*>``, from the start; in tokens of over ``LONG`` characters or of a script that
+is written without spaces only the runs of digits are. A line with digits whose constant words, tokens that keep a letter,
+are under two or under a third of its tokens is no template: rows of number tables, dates, a URL or an unspaced line recur by
+their exact text only. In each leaf, fields without digits are found too: eight
 token positions after the leading ones (all, in a line of up to 11 tokens; evenly spread ones in a longer line) are
 compared over the leaf's distinct lines, weighted by documents, and a position is constant if one token holds at least half
-the weight. If at least three fifths of the positions, and two at least, are constant, the leaf has a template that takes
-all its lines that agree on the constants; the other positions are variable fields.
+the weight. If at least three fifths of the positions, and two at least, are constant, and two constants of these and the
+leading tokens are no ``<*>``, the leaf has a template that takes all its lines that agree on the constants; the other
+positions are variable fields.
 
 A template (or a line as parsed, where its leaf has no template that takes it) recurs if it is in at least ``min_docs``
 documents, or in ``min_docs_long`` if it has ``long_tokens`` tokens or more, for which chance is no explanation. Lines of a
@@ -27,20 +31,33 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import Scratch
 
-LEADING, PROBES = 3, 8
+LEADING, PROBES, LONG = 3, 8, 48
+#: Tokens that are masked whole, and tokens that keep a letter.
+FIELD = (
+    r"(?<![^ ])(?=[^ 0-9]*+[0-9])(?=[^ ]{1,%d}+(?![^ ]))(?![^ ]*[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])[^ ]++" % LONG
+)
+WORD = r"(?<![^ ])[^ \p{L}]*+\p{L}[^ ]*+"
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, raw, leaf, line, n, probes) for each distinct line with tokens of each row; all but doc_id and n are hashes."""
+    """(doc_id, raw, leaf, line, n, lead, probes) for each distinct line with tokens of each row; all but doc_id, n and lead, the
+    leading tokens that are no variable field, are hashes."""
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("l"))
     clean = F.trim(F.regexp_replace("l", r"\s+", " "))
     one = one.select("doc_id", F.xxhash64("l").alias("raw"), clean.alias("c")).where("c <> ''")
-    masked = F.when(F.col("c").rlike("[0-9]"), F.regexp_replace("c", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(F.col("c"))
-    one = one.select("doc_id", "raw", masked.alias("m"))
-    one = one.select("doc_id", "raw", "m", F.split("m", " ").alias("t")).withColumn("n", F.size("t"))
+    digits = F.col("c").rlike("[0-9]")
+    masked = F.when(digits, F.regexp_replace(F.regexp_replace("c", FIELD, "<*>"), "[0-9]+", "<*>")).otherwise(F.col("c"))
+    one = one.select("doc_id", "raw", "c", digits.alias("digits"), masked.alias("m")).withColumn("n", F.size(F.split("m", " ")))
+    words = F.regexp_count("m", F.lit(WORD))
+    exact = F.when(F.col("digits"), (words < 2) | (3 * words < F.col("n"))).otherwise(False)
+    one = one.select("doc_id", "raw", "n", exact.alias("exact"), "c", "m").withColumn("m", F.when(F.col("exact"), F.col("c")).otherwise(F.col("m")))
+    one = one.select("doc_id", "raw", "n", "exact", "m", F.split("m", " ").alias("t"))
     at = [F.when(F.col("n") <= LEADING + PROBES, F.lit(LEADING + k)).otherwise(LEADING + F.floor(k * (F.col("n") - LEADING) / PROBES)).cast("int") for k in range(PROBES)]
     leaf = F.xxhash64("n", *(F.get("t", F.lit(k)) for k in range(LEADING)))
-    return one.select("doc_id", "raw", leaf.alias("leaf"), F.xxhash64("m").alias("line"), "n", F.array(*(F.hash(F.get("t", a)) for a in at)).alias("probes"))
+    leaf = F.when(F.col("exact"), F.xxhash64("m", F.lit("exact"))).otherwise(leaf)  # a leaf of its own, so no template
+    lead = sum(F.coalesce(F.get("t", F.lit(k)) != "<*>", F.lit(False)).cast("int") for k in range(LEADING))
+    probes = F.array(*(F.hash(F.get("t", a)) for a in at))
+    return one.select("doc_id", "raw", leaf.alias("leaf"), F.xxhash64("m").alias("line"), "n", lead.alias("lead"), probes.alias("probes"))
 
 
 def _first() -> Column:
@@ -55,19 +72,20 @@ def recurring_lines(lines: DataFrame, scratch: Scratch, min_docs: int, min_docs_
     """(leaf, line, first): parsed lines whose template recurs, and the document that keeps it."""
     recurs = _recurs("docs", min_docs, min_docs_long, long_tokens)
     distinct = lines.groupBy("leaf", "line").agg(
-        F.count_distinct(F.struct("doc_id")).alias("docs"), _first().alias("first"), F.min("n").alias("n"), F.min("probes").alias("probes")
+        F.count_distinct(F.struct("doc_id")).alias("docs"), _first().alias("first"), F.min("n").alias("n"), F.min("lead").alias("lead"), F.min("probes").alias("probes")
     )
     distinct = scratch.save(distinct, "distinct")
     # Leaves with several lines in enough documents may have a template of their own.
     wide = distinct.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs"), F.min("n").alias("n"))
     wide = wide.where((F.col("lines") > 1) & (F.col("n") >= LEADING + 2) & recurs).select("leaf")
     some = distinct.join(wide, "leaf", "left_semi")
-    weight = some.select("leaf", "n", "docs", F.posexplode("probes").alias("at", "token")).where(F.col("at") < F.col("n") - LEADING)
-    weight = weight.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("w"), F.min("n").alias("n"))
-    top = weight.groupBy("leaf", "at").agg(F.max(F.struct("w", "token")).alias("top"), F.sum("w").alias("all"), F.min("n").alias("n"))
-    const = top.where("2 * top.w >= all").groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "top.token"))).alias("const"), F.min("n").alias("n"))
+    weight = some.select("leaf", "n", "lead", "docs", F.posexplode("probes").alias("at", "token")).where(F.col("at") < F.col("n") - LEADING)
+    weight = weight.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("w"), F.min("n").alias("n"), F.min("lead").alias("lead"))
+    top = weight.groupBy("leaf", "at").agg(F.max(F.struct("w", "token")).alias("top"), F.sum("w").alias("all"), F.min("n").alias("n"), F.min("lead").alias("lead"))
+    own = F.count_if(F.col("top.token") != F.hash(F.lit("<*>"))) + F.min("lead")
+    const = top.where("2 * top.w >= all").groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "top.token"))).alias("const"), F.min("n").alias("n"), own.alias("own"))
     slots = F.least(F.lit(PROBES), F.col("n") - LEADING)
-    const = const.where((5 * F.size("const") >= 3 * slots) & (F.size("const") >= 2)).select("leaf", "const")
+    const = const.where((5 * F.size("const") >= 3 * slots) & (F.size("const") >= 2) & (F.col("own") >= 2)).select("leaf", "const")
     agrees = F.forall(F.map_entries("const"), lambda e: F.get("probes", e["key"]) == e["value"])
     taken = scratch.save(some.join(const, "leaf").where(agrees).select("leaf", "line"), "taken")
     template = lines.join(taken, ["leaf", "line"], "left_semi").groupBy("leaf")
@@ -111,7 +129,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring(docs, count=True)
 
 
-#: The same over strings instead of hashes.
+#: The same over strings instead of hashes, but for lines of under two constant words, or a third, which it masks too.
 OP7_SQL = r"""
 WITH raw AS (
   SELECT DISTINCT doc_id, UNNEST(string_split(text, chr(10))) AS l FROM documents

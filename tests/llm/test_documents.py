@@ -109,6 +109,17 @@ def test_variable_fields_without_digits(spark):
     assert _drop(spark, prose) == dict(prose)
 
 
+def test_lines_without_constant_words_recur_by_exact_text_only(spark):
+    def one(k):
+        return f"{k}1 {k}2 {k}3\n2024-01-0{k}\n| {k}4 | {k}5 |\nx{k}=y{k}\n我们在202{k}年看到了{'甲乙丙丁戊'[k]}的文章\nTotal " + " ".join(str(100 * k + j) for j in range(24))
+
+    rows = [(k, one(k)) for k in range(5)]
+    assert _drop(spark, rows) == dict(rows)
+    assert _drop(spark, [(k, f"only {'abcd'[k]}\n12 34 56") for k in range(4)]) == {0: "only a\n12 34 56", 1: "only b", 2: "only c", 3: "only d"}
+    mixed = [(k, f"{k}1 {k}2 {k}3 {a} {k}4 {k}5 {b} {c} {k}6") for k, (a, b, c) in enumerate([("red", "sea", "sun"), ("old", "oak", "sky"), ("new", "inn", "bay"), ("big", "hut", "dew")])]
+    assert _drop(spark, mixed) == dict(mixed)
+
+
 def test_lines_of_odd_tables(spark, odd_docs, no_docs, rows_of):
     out = line_dedup.drop_recurring(odd_docs)
     assert out.columns == odd_docs.columns and out.dtypes == odd_docs.dtypes
