@@ -11,10 +11,12 @@ Kinds, in this order (the first three are fixed values of the task):
 - ``hex``: 16 or more hexadecimal digits in lower case;
 - ``github``: a prefix such as ``ghp_``, 30 letters and digits, and their CRC-32 in 6 digits of base 62;
 - ``npm``: ``npm_`` and the same;
-- ``jwt``: three base64url parts, the first of which decodes to a JSON object that names an algorithm.
+- ``jwt``: three base64url parts, the first of which decodes to a JSON object that names an algorithm; the first ``eyJ`` of a
+  run of base64url characters is where such a header can begin, so each run is decoded once.
 
 The last three count only if what they embed is valid; they add spans and remove none. Spans of one kind don't overlap and
-are the leftmost ones; spans are in code points, the end exclusive.
+are the leftmost ones; spans are in code points, the end exclusive. Keywords are met one by one, and each character is read a
+bounded number of times whatever the text, so time is linear and what is held beside the text are its spans.
 
 Edge cases: a null text is the empty text and has no spans; rows are scanned one by one, so repeated rows, ties and null
 doc_ids need no care; an empty table gives no rows; other columns than doc_id and text are not read by ``scan`` and are
@@ -49,6 +51,7 @@ PATTERNS = {
     "jwt": re.compile(r"(eyJ[0-9A-Za-z_-]+)\.(eyJ[0-9A-Za-z_-]+)\.([0-9A-Za-z_-]+)"),
 }
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_TOKEN = re.compile(r"[0-9A-Za-z_-]*")
 _FOUR = re.compile(r"[0-9a-f]{4,}")
 _LEFT = re.compile(r"[0-9a-f]*")
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -70,7 +73,7 @@ def _valid(kind: str, m: re.Match) -> bool:
     if kind == "jwt":
         try:
             head = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-        except ValueError:
+        except (ValueError, RecursionError):  # no base64, no UTF-8, no JSON, or nested too deeply for any header
             return False
         return isinstance(head, dict) and isinstance(head.get("alg"), str)
     return base62(zlib.crc32(m[1].encode())) == m[2]
@@ -96,15 +99,23 @@ class Scanner:
         lower = text.lower()
         if len(lower) != len(text):  # some capitals become two characters: keep the places
             lower = text.translate(_ASCII_LOWER)
-        hits = sorted({(end - n + 1, kind) for a, t in ((self.names, lower), (self.marks, text)) for end, (n, kind) in a.iter(t)})
         out, after = [], dict.fromkeys(KINDS, 0)
-        for start, kind in hits:
-            if start >= after[kind] and (m := PATTERNS[kind].match(text, start)):
-                ok = _valid(kind, m)
-                if ok or kind in ("assign", "access"):  # a base match that fails still takes its place
-                    after[kind] = m.end()
-                if ok:
-                    out.append((kind, start, m.end()))
+        # No keyword of a kind lies within another one, so they come by their starts as well as by their ends.
+        for automaton, of in ((self.names, lower), (self.marks, text)):
+            for last, (n, kind) in automaton.iter(of):
+                start = last - n + 1
+                if start < after[kind]:
+                    continue
+                m = PATTERNS[kind].match(text, start)
+                if m:
+                    ok = _valid(kind, m)
+                    if ok or kind in ("assign", "access"):  # a base match that fails still takes its place
+                        after[kind] = m.end()
+                    if ok:
+                        out.append((kind, start, m.end()))
+                        continue
+                if kind == "jwt":
+                    after[kind] = _TOKEN.match(text, start).end()
         end = 0
         for m in _FOUR.finditer(text[::4]):
             at = max(4 * m.start(), end)

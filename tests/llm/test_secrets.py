@@ -2,6 +2,8 @@ import base64
 import hashlib
 import random
 import re
+import string
+import time
 import zlib
 
 from codeloom.llm import secrets
@@ -35,6 +37,45 @@ def test_checksums():
     assert s.spans(f"x {head}.{head}.abc-_ y")[0][0] == "jwt" and not s.spans(f"eyJhIj.{head}.abc")
 
 
+def test_hostile_texts_take_linear_time():
+    s = secrets.Scanner()
+    deep = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 100_000).decode().rstrip("=")
+    begin = time.monotonic()
+    assert s.spans(f"{deep}.eyJh.b") == []
+    for bit in ("eyJ", "eyJ.", "eyJeyJ.eyJx.", "AKIA", "ghp_", "npm_0", "password ", "secretoken=", "token: 'x", "abcd ", "0123456789abcde-"):
+        s.spans(bit * (2_000_000 // len(bit)))
+    s.spans("eyJ" * 3_500_000)
+    s.spans("password" + " " * 10_000_000)
+    assert time.monotonic() - begin < 60
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    assert s.spans("eyJx.eyJx." + f"{head}.{head}.abc")[0][:2] == ("jwt", 10)
+
+
+def test_checksum_kinds_on_a_table(spark):
+    """Valid and invalid tokens among other words: found as a search at every place finds them."""
+    r, rows = random.Random(3), []
+    chars = string.ascii_letters + string.digits
+    for k in range(300):
+        body = "".join(r.choices(chars, k=30))
+        sums = secrets.base62(zlib.crc32(body.encode())) if r.random() < 0.5 else "".join(r.choices(chars, k=6))
+        words = [r.choice(["ghp_", "ghs_", "npm_", "gh_", "AKIA"]) + body + sums, "a plain word", "é"]
+        head = base64.urlsafe_b64encode(r.choice([b'{"alg":"none"}', b'{"typ":"JWT"}', b'{"alg":7}'])).decode().rstrip("=")
+        words.append(f"{head}.{r.choice(['eyJhIjoxfQ', 'abc'])}.{body}")
+        r.shuffle(words)
+        rows.append((k, " ".join(words)))
+    found = {x.doc_id: [(s.kind, s.start, s.end) for s in x.spans if s.kind not in secrets.KINDS[:3]] for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        want = []
+        for m in re.finditer(r"(gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])", text):
+            if secrets.base62(zlib.crc32(m[2].encode())) == m[3]:
+                want.append(("npm" if m[1] == "npm" else "github", m.start(), m.end()))
+        for m in re.finditer(r"(?<![0-9A-Za-z_-])(eyJ[0-9A-Za-z_-]+)\.eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+", text):
+            if base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)) == b'{"alg":"none"}':
+                want.append(("jwt", m.start(), m.end()))
+        assert found[k] == sorted(want, key=lambda s: s[1])
+    assert sum(map(len, found.values())) > 100
+
+
 def test_odd_documents(odd_docs, no_docs, rows_of):
     rows = secrets.scan(odd_docs).collect()
     assert len(rows) == odd_docs.count() and sum(len(r.spans) for r in rows) == 3
