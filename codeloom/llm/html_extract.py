@@ -1,17 +1,22 @@
 """Operator 10: main text of pages by wrapper induction.
 
-A few pages of each host, of different main texts, are aligned as trees by simple tree matching. Nodes whose text is the same
-in all of them are the host's template; the others are slots that vary. The wrapper is where the slots' text is: the deepest
-path of labels (tag and classes) that holds at least three fifths of it, widened to the article or main element around it;
-where there is none, the deepest container that holds all of it in headings and paragraphs, and 19 of 20 parts of the rest;
-with the template's texts below that. A page's text is what its nodes at that path hold, but for template nodes and the parts that
-are not an article's text by their element or class. A page without such a path is aligned with a reference page of its
+A few pages of each host, of different main texts, are aligned as trees by simple tree matching. Subtrees that are the same
+in all of them, texts included, are the host's template, whatever their elements and classes say; the others are slots that
+vary. The wrapper is where the slots' text is: the deepest path of labels (tag and classes) that holds at least three fifths
+of it, widened to the article or main element around it; where there is none, the deepest container that holds all of it in
+headings and paragraphs, and 19 of 20 parts of the rest; with the template's blocks below that. A page's text is what its
+nodes at that path hold, but for blocks of the template and those varying parts (adverts, comments, lists of links) that are not
+an article's text by their element or class. A page without such a path is aligned with a reference page of its
 host by tree matching; if that fails too, and for hosts with a single text, its largest article, main element or body is
-taken.
+taken. Of pages that are near copies, which have more text in constant headings and paragraphs than varies (``COPIES`` times
+as much, if they are over two), no wrapper is learned; and no block is dropped as constant where there are but two pages, or
+where the constant text at the wrapper's path is more than what varies there.
 
-Reference pages are the ``REFERENCES`` of smallest hash of each host. Each task keeps that many a host, so what is
-shuffled for a host that has a third of all pages is no more than for another. The wrappers are broadcast if they have at
-most ``BROADCAST_BYTES`` in all, which is checked; beyond that they are joined by host, where Spark splits a skewed host.
+Reference pages are the ``REFERENCES`` of smallest hash of each host, of pages of up to ``REFERENCE_CHARS`` characters. Each
+task keeps that many a host, and so does a second round that deals a host to ``SALTS`` tasks, so a host that has a third of all
+pages is gathered nowhere. The wrappers are broadcast if they have at most ``BROADCAST_BYTES`` in all, which is checked;
+beyond that they are joined by host, where Spark splits a skewed host. Parsing and matching are linear in a page's length
+but for the tables of tree matching, which have a bounded number of cells; see ``dom``.
 
 Edge cases: null or empty html has the empty text; a null url is a host of its own; repeated pages are pages like others,
 and references of equal text count once; an empty table gives no rows; only page_id, url and html are read.
@@ -31,9 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import Scratch, n_partitions, text_batches
-from codeloom.llm.dom import BLOCK, Node, blocks, parse, tree_match
+from codeloom.llm.dom import BLOCK, Node, blocks, content_hash, parse, tree_match
 
-REFERENCES, BROADCAST_BYTES = 5, 64 << 20
+REFERENCES, REFERENCE_CHARS, SALTS, BROADCAST_BYTES, HELD_CHARS = 5, 1 << 20, 64, 64 << 20, 32 << 20
+COPIES = 4
+#: Cells of the tables in which a page without the wrapper's path is aligned.
+PAGE_CELLS = 50_000
 #: Elements that hold no article text, and words of classes, ids and roles that say so.
 OTHER = set("head nav footer aside form script style noscript button select option textarea input label iframe svg canvas object template dialog menu title audio video".split())
 WORDS = set(
@@ -46,6 +54,7 @@ WORDS = set(
 PLACE = set("left right top bottom site main primary secondary inner outer wrap wrapper container box bar block area section list".split())
 KIND = PLACE | set("post posts article articles entry page link links button buttons slot unit title heading header text form item items icons media".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | {"p"}
 HEADS = {"header"}
 CONTAINERS = set("article main section div td body # form center blockquote".split())
 WHOLE = {"#", "html", "body", "main", "table", "tbody", "tr"}
@@ -98,18 +107,20 @@ def largest_article(page: Node) -> list[Node]:
     return [page]
 
 
-def _text_nodes(page: Node) -> Iterator[tuple[Node, str]]:
+def _text_nodes(page: Node, template: set[int]) -> Iterator[tuple[Node, str]]:
+    """Nodes with text of their own, but for the template's and for parts that are no article's."""
     todo = [page]
     while todo:
         node = todo.pop()
-        if node is page or not is_other(node):
+        if id(node) not in template and (node is page or not is_other(node)):
             if text := node.own_text():
                 yield node, text
             todo.extend(node.elements())
 
 
 def induce(htmls: list[str]) -> dict | None:
-    """The wrapper of a host from reference pages: {path, constant, skeleton}, or None where nothing varies."""
+    """The wrapper of a host from reference pages, or None where nothing varies: ``path``, the labels down to the content;
+    ``constant``, (key, content hash) of the template's blocks at or below it; and ``skeleton`` of a reference page."""
     pages, seen = [], set()
     for html in sorted(set(htmls)):
         page = parse(html)
@@ -120,83 +131,111 @@ def induce(htmls: list[str]) -> dict | None:
     if len(pages) < 2:
         return None
     base = pages[0]
-    same = {id(n): (n, t) for n, t in _text_nodes(base)}
+    # What is the same in the base and in every other page, and the nodes that it is aligned with.
+    same = {id(n): h for n, h in _hashes(base)}
+    template: list[set[int]] = []
     for page in pages[1:]:
-        other = {id(a): b.own_text() for a, b in tree_match(base, page)}
-        same = {k: (n, t) for k, (n, t) in same.items() if other.get(k) == t}
-    constant = {(n.path, t) for n, t in same.values()}
+        other = {id(n): h for n, h in _hashes(page)}
+        aligned = {id(x): id(y) for x, y in tree_match(base, page) if id(x) in same and same[id(x)] == other.get(id(y))}
+        same = {k: h for k, h in same.items() if k in aligned}
+        template.append(aligned)
     weight: Counter = Counter()
     prose: Counter = Counter()
+    at: dict[int, Node] = {}
     total = 0
-    for page in pages:
-        for node, text in _text_nodes(page):
-            if (node.path, text) not in constant and not _in_link(node):
+    for page, of in zip(pages, [set(same), *({a[k] for k in same} for a in template)], strict=True):
+        for node, text in _text_nodes(page, of):
+            if not _in_link(node):
                 total += len(text)
                 own = len(text) if node.tag == "p" or node.tag in HEADINGS else 0
                 while node:
-                    weight[node.path] += len(text)
-                    prose[node.path] += own
+                    weight[node.key] += len(text)
+                    prose[node.key] += own
+                    at.setdefault(node.key, node)
                     node = node.parent
-    if not total:
+    shared = sum(len(n.own_text()) for n in base.walk() if id(n) in same and n.tag in PROSE and not _in_link(n))
+    if not total or len(pages) * shared > (1 if len(pages) == 2 else COPIES) * total:
         return None
-    path = max((p for p, w in weight.items() if 5 * w >= 3 * total), key=lambda p: p.count("/"))
-    if not {p.split(".")[0] for p in path.split("/")} & {"article", "main"}:
-        path = max((p for p, w in weight.items() if 20 * w >= 19 * total and prose[p] == prose[base.path]), key=lambda p: p.count("/"))
-    parts = path.split("/")
-    while len(parts) > 1 and parts[-1].split(".")[0] not in CONTAINERS:
-        parts.pop()
-    tags = [p.split(".")[0] for p in parts]
-    for semantic in ("article", "main"):
-        if semantic in tags:
-            parts = parts[: len(tags) - tags[::-1].index(semantic)]
-            break
-    path = "/".join(parts)
-    at = [n for n in base.walk() if n.path == path]
-    return {"path": path, "constant": sorted([p, t] for p, t in constant if p.startswith(path)), "skeleton": _skeleton(base, path) if at else None}
+    deepest = lambda keys: max((at[k] for k in keys), key=lambda n: n.depth)
+    node = deepest(k for k, w in weight.items() if 5 * w >= 3 * total)
+    up = lambda n, tags: next((x for x in _line(n) if x.tag in tags), None)
+    if not up(node, ("article", "main")):
+        node = deepest(k for k, w in weight.items() if 20 * w >= 19 * total and prose[k] == prose[base.key])
+    while node.parent and node.tag not in CONTAINERS:
+        node = node.parent
+    node = up(node, ("article",)) or up(node, ("main",)) or node
+    kept = []
+    if len(pages) > 2:
+        below = [n for r in _at(base, node.path()) for n in r.walk()]
+        tops = [n for n in below if id(n) in same and not (n.parent and id(n.parent) in same)]
+        if len(pages) * sum(len(n.own_text()) + sum(len(c.own_text()) for c in n.walk() if c is not n) for n in tops) <= weight[node.key]:
+            kept = [[k, h] for k, h in {(n.key, same[id(n)]) for n in below if id(n) in same and n.tag in BLOCK}]
+    path = node.path()
+    return {"path": path, "constant": sorted(kept), "skeleton": _skeleton(base, path) if _at(base, path) else None}
+
+
+def _hashes(page: Node) -> list[tuple[Node, int]]:
+    """(node, content hash) of every node with text at or below it."""
+    known: dict[int, int] = {}
+    content_hash(page, known)
+    out, texts = [], set()
+    for n in reversed(list(page.walk())):
+        if n.own_text() or any(id(c) in texts for c in n.elements()):
+            texts.add(id(n))
+            out.append((n, known[id(n)]))
+    return out
+
+
+def _line(node: Node | None) -> Iterator[Node]:
+    while node:
+        yield node
+        node = node.parent
 
 
 def _in_link(node: Node) -> bool:
-    while node:
-        if node.tag == "a":
-            return True
-        node = node.parent
-    return False
+    return any(n.tag == "a" for n in _line(node))
+
 
+def _at(page: Node, path: list[str]) -> list[Node]:
+    """The page's nodes at a path of labels, in page order."""
+    found = [page] if page.label == path[0] else []
+    for label in path[1:]:
+        found = [c for n in found for c in n.elements() if c.label == label]
+    return found
 
-def _skeleton(node: Node, path: str) -> list:
+
+def _skeleton(node: Node, path: list[str]) -> list:
     """Labels of a reference page down to the content."""
-    return [node.label, [] if node.path == path else [_skeleton(c, path) for c in node.elements()]]
+    return [node.label, [] if node.depth + 1 == len(path) and node.path() == path else [_skeleton(c, path) for c in node.elements()]]
 
 
 def _tree(skeleton: list, parent: Node | None = None) -> Node:
-    node = Node("#", {}, parent)
+    node = Node(skeleton[0].split(".")[0], {}, parent)
     node.label = skeleton[0]
-    node.path = f"{parent.path}/{node.label}" if parent else node.label
     node.children = [_tree(c, node) for c in skeleton[1]]
     return node
 
 
 class Wrapper:
     def __init__(self, spec: dict):
-        self.path, self.constant = spec["path"], {(p, t) for p, t in spec["constant"]}
+        self.path = spec["path"]
+        self.constant: dict[int, set[int]] = {}
+        for key, h in spec["constant"]:
+            self.constant.setdefault(key, set()).add(h)
         self.reference = _tree(spec["skeleton"]) if spec["skeleton"] else None
 
     def roots(self, page: Node) -> list[Node]:
         """The page's nodes at the wrapper's path, or those aligned with it."""
-        found, todo = [], [page]
-        while todo:
-            node = todo.pop()
-            if node.path == self.path:
-                found.append(node)
-            elif self.path.startswith(node.path + "/"):
-                todo.extend(reversed(node.elements()))
+        found = _at(page, self.path)
         if not found and self.reference:
-            found = [b for a, b in tree_match(self.reference, page) if a.path == self.path]
+            aligned = {id(b) for a, b in tree_match(self.reference, page, PAGE_CELLS) if a.depth + 1 == len(self.path) and a.path() == self.path}
+            found = [n for n in page.walk() if id(n) in aligned]
         return found
 
     def skip(self, node: Node) -> bool:
-        """Parts that are no article's, and template blocks; words inside a block that varies stay."""
-        return is_other(node) or bool(self.constant) and node.tag in BLOCK and (node.path, node.own_text()) in self.constant and not node.elements()
+        """Blocks of the template, and parts that are no article's; words inside a block that varies stay."""
+        own = self.constant.get(node.key)
+        return own is not None and content_hash(node) in own or is_other(node)
 
 
 def main_text(html: str | None, wrapper: Wrapper | None) -> str:
@@ -207,18 +246,23 @@ def main_text(html: str | None, wrapper: Wrapper | None) -> str:
     return text or "\n\n".join(blocks(largest_article(page), is_other))
 
 
-def _few(batches: Iterator[pa.RecordBatch], name: str, html: str) -> Iterator[pa.RecordBatch]:
-    """The pages of smallest hash of each host: rows (host, html)."""
+def _few(batches: Iterator[pa.RecordBatch], by_url: bool) -> Iterator[pa.RecordBatch]:
+    """The pages of smallest hash of each host: rows (host, html). Holds ``HELD_CHARS`` at most, then hands on what there is."""
     best: dict[str, list[tuple[int, str]]] = {}
+    held = 0
     for b in text_batches(batches):
-        for url, page in zip(b.column(name).to_pylist(), b.column(html).to_pylist(), strict=True):
-            if page:
-                own, item = best.setdefault(host(url) if name == "url" else url, []), (-zlib.crc32(page.encode()), page)
+        for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if page and len(page) <= REFERENCE_CHARS:
+                own, item = best.setdefault(host(url) if by_url else url, []), (-zlib.crc32(page.encode()), page)
                 if item not in own:
-                    (heapq.heappush if len(own) < REFERENCES else heapq.heappushpop)(own, item)
-                if len(best) > 20_000:  # bounded memory: hand on what there is
+                    held += len(page)
+                    if len(own) < REFERENCES:
+                        heapq.heappush(own, item)
+                    else:
+                        held -= len(heapq.heappushpop(own, item)[1])
+                if held > HELD_CHARS:
                     yield _rows(best)
-                    best = {}
+                    best, held = {}, 0
     if best:
         yield _rows(best)
 
@@ -232,16 +276,25 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper): the wrapper of each host as JSON; hosts without one are absent."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, list[str]] = {}
-        for b in _few(batches, "host", "html"):
-            for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                best.setdefault(h, []).append(p)
-        specs = [(h, json.dumps(w)) for h, ps in best.items() if (w := induce(ps))]
-        if specs:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*specs, strict=True)], names=["host", "wrapper"])
-
-    few = pages.select("url", "html").mapInArrow(lambda b: _few(b, "url", "html"), "host string, html string")
-    return few.repartition(n_partitions(pages.sparkSession), "host").mapInArrow(build, "host string, wrapper string")
+        def done(name: str, own: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+            if spec := induce([p for _, p in own]):
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([json.dumps(spec)], pa.string())], names=["host", "wrapper"])
+
+        name, own = None, []
+        for b in text_batches(batches):  # sorted by host
+            for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if h != name:
+                    yield from done(name, own) if own else ()
+                    name, own = h, []
+                item = (-zlib.crc32(page.encode()), page)
+                if item not in own:
+                    (heapq.heappush if len(own) < REFERENCES else heapq.heappushpop)(own, item)
+        yield from done(name, own) if own else ()
+
+    n = n_partitions(pages.sparkSession)
+    few = pages.select("url", "html").mapInArrow(lambda b: _few(b, True), "host string, html string")
+    few = few.repartition(n, "host", F.pmod(F.crc32("html"), F.lit(SALTS))).mapInArrow(lambda b: _few(b, False), "host string, html string")
+    return few.repartition(n, "host").sortWithinPartitions("host").mapInArrow(build, "host string, wrapper string")
 
 
 def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 from codeloom.llm import html_extract as h
 from codeloom.llm.dom import blocks, parse, tree_match
 
@@ -14,7 +16,7 @@ def _page(k):
 
 def test_wrapper():
     spec = h.induce([_page(k) for k in range(5)])
-    assert spec["path"].endswith("div.wrap/div.story")
+    assert spec["path"][-2:] == ["div.wrap", "div.story"]
     got = h.main_text(_page(9), h.Wrapper(spec))
     assert got == "Title 9\n\nBody text number 9 that is long enough one two three\n\nMore words of page 9"  # the list is the same on all pages: template
     assert "Buy" not in got and "First!" not in got and "Popular" not in got and "cookies" not in got
@@ -35,6 +37,57 @@ def test_slugs_of_an_article_are_no_notices():
     assert h.main_text("<article>" + "".join(kept + gone) + "</article>", None) == "\n\n".join("ABCDEF")
 
 
+def _bare(k, n=5, extra=""):
+    """No class, id or element says what is the article: only what varies from page to page does."""
+    words = [f"Paragraph {j} of page {k} goes on with words of its own, {k * 31 + j} of them." for j in range(n)]
+    return (
+        "<body><div><p>Daily paper</p><div><p>All the news since 1901</p><p>Read by millions</p></div></div><div><div><h1>Title %d</h1>%s<p>Would you like to support us? <b>Give today</b></p>"
+        "%s</div><div><h3>About us</h3><p>We are a small paper with a large heart.</p></div></div><div><p>All rights with us</p></div></body>"
+    ) % (k, "".join(f"<p>{w}</p>" for w in words), extra)
+
+
+def test_only_induction_tells_template_from_content():
+    w = h.Wrapper(h.induce([_bare(k, 3 + k) for k in range(5)]))
+    page = _bare(9, 4)
+    want = "Title 9\n\n" + "\n\n".join(f"Paragraph {j} of page 9 goes on with words of its own, {9 * 31 + j} of them." for j in range(4))
+    assert h.main_text(page, w) == want
+    plain = h.main_text(page, None)  # the word list alone takes the template for content
+    assert plain != want and "Daily paper" in plain and "support us" in plain and "About us" in plain
+    own = _bare(9, 4, "<p>Would you like to support us? <b>Not today</b></p>")  # as the template, but for a word
+    assert h.main_text(own, w).endswith("Would you like to support us? Not today")
+
+
+def test_near_copies_are_no_template():
+    """Two pages, or more that are nearly the same, keep what they share."""
+    for n in (2, 4):
+        pages = [_bare(1, 8, f"<p>{k}</p>") for k in range(n)]
+        spec = h.induce(pages)
+        assert "Paragraph 7 of page 1" in h.main_text(pages[0], h.Wrapper(spec) if spec else None)
+
+
+def test_wide_and_broken_pages_take_linear_time():
+    begin = time.monotonic()
+    wide = ["<body><div class=post>" + "".join(f"<p>{k} {j}</p>" for j in range(50_000)) + "</div><p>Same</p></body>" for k in range(2)]
+    assert h.main_text(wide[0], h.Wrapper(h.induce(wide))).count("\n\n") == 49_999
+    mixed = ["<body>" + "".join(f"<{'div' if (j * k) % 3 else 'p'}>{k * j}<b>x</b></{'div' if (j * k) % 3 else 'p'}>" for j in range(3000)) + "</body>" for k in range(1, 4)]
+    w = h.Wrapper(h.induce(mixed))
+    assert h.main_text(mixed[0].replace("<body>", "<body class=other>"), w)
+    for bit in ("<a ", "<a '", "<a \">\" ", "<!", "<!--", "<script>", "<p <p ", "</x", "<div class='a b", "<header>", "<a b c "):
+        page = bit * (1_000_000 // len(bit))
+        h.main_text(page, None)
+        h.main_text(page + ">", w)
+    assert time.monotonic() - begin < 90
+
+
+def test_anchored_match_keeps_order():
+    one = "".join(f"<p>{j}</p>" for j in range(700)) + "<p>anchor</p>" + "<div>a</div>" * 5
+    two = "".join(f"<p>x{j}</p>" for j in range(650)) + "<p>anchor</p>" + "<div>b</div>" * 5
+    pairs = [(x, y) for x, y in tree_match(parse(one), parse(two)) if x.tag != "#"]
+    assert len(pairs) == 656 and any(x.own_text() == y.own_text() == "anchor" for x, y in pairs)
+    exact = tree_match(parse(one), parse(two), cells=10**7)
+    assert len(exact) == 657
+
+
 def test_page_of_another_shape_is_aligned():
     w = h.Wrapper(h.induce([_page(k) for k in range(5)]))
     shifted = _page(9).replace('<div class="wrap">', '<div class="wrap wide">')
