@@ -78,10 +78,10 @@ def with_columns_of(docs: DataFrame, changed: dict) -> DataFrame:
 def connected_components(edges: DataFrame, scratch: Scratch, u: str = "u", v: str = "v") -> DataFrame:
     """Component of each node that has an edge: (node, component), the component being its smallest node.
 
-    Alternates large-star and small-star rounds. Each round is one shuffle on the node and emits at most one row per
-    edge, so a component of any size converges in O(log^2) rounds without gathering it in one task: the star of a hot
-    node is a group-wise minimum joined back, and Spark splits a skewed join. Rounds are written to the shared folder.
-    Null ends and self links are ignored; an empty input gives an empty result.
+    Alternates large-star and small-star rounds, and emits at most one row per edge, so a component of any size converges
+    in O(log^2) rounds without gathering it in one task. The star of a hot node is a group-wise minimum, aggregated before
+    it is shuffled, and written before it is joined back: both sides of that join are plain shuffles, which Spark splits
+    where they are skewed. Null ends and self links are ignored; an empty input gives an empty result.
     """
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u <> v")
     e = scratch.save(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-0")
@@ -89,10 +89,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, u: str = "u", v: st
     while True:
         # Large star: every neighbour above a node goes to the smallest of the node and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-large-least")
+        above = e.select(F.col("v").alias("u"), F.col("u").alias("v"))  # the neighbours above u, as u > v in every row
+        large = scratch.save(above.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
         # Small star: a node's smaller neighbours, and the node, go to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "cc-small-least")
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
@@ -104,10 +105,40 @@ def connected_components(edges: DataFrame, scratch: Scratch, u: str = "u", v: st
         if sums[0] == sums[3] and sums == last or sums[0] == 0:
             break
         last = sums
+    for name in ("cc-large-least", "cc-large", "cc-small-least"):
+        scratch.drop(name)
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def deal(rows: DataFrame, key: str, of: str, size: int, scratch: Scratch, name: str) -> tuple[DataFrame, list[str]]:
+    """``rows`` dealt out and sorted by ``key``, and the columns that tell groups apart.
+
+    A key of more than ``size`` rows is cut into chunks of about that many by the hash of ``of``, and every pair of chunks
+    is a group of its own: columns ``a`` <= ``b`` name the pair and ``own`` the row's chunk. Every two rows of a key meet in
+    one group if their chunks differ and in one if they are the same; a group has about ``2 * size`` rows at most.
+    """
+    n = n_partitions(rows.sparkSession)
+    hot = scratch.save(rows.groupBy(key).count().where(F.col("count") > size), name)
+    if hot.isEmpty():
+        return rows.repartition(n, key).sortWithinPartitions(key), [key]
+    chunks = F.coalesce(F.ceil(F.col("count") / size), F.lit(1)).cast("int")
+    rows = rows.join(hot, key, "left").withColumn("chunks", chunks).drop("count")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(of, F.lit(17)), "chunks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("other", "chunks")
+    by = [key, "a", "b"]
+    return rows.repartition(n, *by).sortWithinPartitions(*by), by
+
+
+def chunk_sides(table: pa.Table) -> tuple["np.ndarray", "np.ndarray"] | None:  # noqa: F821
+    """(own, mixed) of rows that ``deal`` has cut into chunks: the row's chunk, and whether its group is of two chunks."""
+    if "own" not in table.column_names:
+        return None
+    own, a, b = (table.column(k).to_numpy() for k in ("own", "a", "b"))
+    return own, a != b
+
+
 def group_ends(*keys) -> "np.ndarray":  # noqa: F821
     """Where each run of equal keys ends, in sorted columns."""
     import numpy as np

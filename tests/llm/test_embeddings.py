@@ -1,3 +1,4 @@
+import measure_recall
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -40,11 +41,29 @@ def test_tables_suffice_for_a_long_mean():
     for length in (0.0, 0.8, 0.9, 0.99):
         x = r.normal(size=(6000, 32))
         x = embedding_dedup.valid_unit(x / np.linalg.norm(x, axis=1, keepdims=True) * np.sqrt(1 - length**2) + length * np.eye(32)[0])
-        mean, rotations, bits, tables = embedding_dedup.coding(x[:3000], 20_000, 0.95, 5)
+        coder = embedding_dedup.coding(x[:3000], 20_000, 0.95, 5)
         own, aside = x[3000:], r.normal(size=(3000, 32))
         aside = embedding_dedup.valid_unit(aside - (aside * own).sum(axis=1, keepdims=True) * own)
-        code = [np.concatenate([(v - mean) @ m >= 0 for m in rotations], axis=1)[:, : bits * tables].reshape(3000, tables, bits) for v in (own, 0.95 * own + np.sqrt(1 - 0.95**2) * aside)]
-        assert (code[0] == code[1]).all(axis=2).any(axis=1).mean() >= 0.995
+        code = [coder.code(v) for v in (own, 0.95 * own + np.sqrt(1 - 0.95**2) * aside)]
+        assert (coder.keys(code[0]) == coder.keys(code[1])).any(axis=1).mean() >= 0.995
+        assert (np.bitwise_count(coder.words(code[0]) ^ coder.words(code[1])).sum(axis=1) <= coder.radius).mean() >= 0.999
+
+
+def test_recall_of_links_on_a_whole_table(spark, sf):
+    """The whole table and near copies of every tenth vector, at the threshold and above it, against brute force."""
+    x = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()], dtype=np.float64)
+    r = np.random.default_rng(3)
+    copies = []
+    for v in x[::10]:
+        for cosine in r.uniform(0.93, 1, 4):
+            aside = r.normal(size=len(v))
+            aside -= aside @ v / (v @ v) * v
+            copies.append(cosine * v + np.sqrt(1 - cosine**2) * np.linalg.norm(v) * aside / np.linalg.norm(aside))
+    x = np.concatenate([x, copies]).astype(np.float32).astype(np.float64)
+    rows = embedding_dedup.near_duplicates(_frame(spark, x)).orderBy("vec_id").collect()
+    links, recall, label = measure_recall.links_recall(x, np.array([r.n_links for r in rows]))
+    assert links > 100 and recall >= 0.995
+    assert np.mean([r.component_id == k for r, k in zip(rows, label.tolist(), strict=True)]) >= 0.995
 
 
 def test_repeated_query_rows(spark):
