@@ -75,6 +75,13 @@ def with_columns_of(docs: DataFrame, changed: dict) -> DataFrame:
     return docs.withColumns({c: e.cast(kinds[c]) for c, e in changed.items() if c in kinds})
 
 
+def free_prefix(names: list[str], prefix: str) -> str:
+    """``prefix``, made longer until no name begins with it, whatever the case."""
+    while any(c.lower().startswith(prefix) for c in names):
+        prefix += "_"
+    return prefix
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, u: str = "u", v: str = "v") -> DataFrame:
     """Component of each node that has an edge: (node, component), the component being its smallest node.
 

@@ -17,7 +17,8 @@ recurring template are dropped, except in the document of the smallest doc_id th
 
 The tree's levels are hashes, so a line is about 70 bytes in the shuffles, whatever its length. Counts are aggregated
 before each shuffle; a line that a third of all documents share is one row in every table but the last join, which Spark
-splits where it is skewed.
+splits where it is skewed. What goes from a text is listed by its doc_id and its hash, so rows that share a doc_id or have
+none are not gathered.
 
 Edge cases: rows of equal doc_id are one document, and so are all rows of null doc_id, which comes last; a null text stays
 null and has no lines; lines without tokens are never dropped; a text whose lines all go becomes empty; an empty table
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch
+from codeloom.llm.common import Scratch, free_prefix
 
 LEADING, PROBES, LONG = 3, 8, 48
 #: Tokens that are masked whole, and tokens that keep a letter.
@@ -40,24 +41,24 @@ WORD = r"(?<![^ ])[^ \p{L}]*+\p{L}[^ ]*+"
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, raw, leaf, line, n, lead, probes) for each distinct line with tokens of each row; all but doc_id, n and lead, the
-    leading tokens that are no variable field, are hashes."""
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("l"))
+    """(doc_id, own, raw, leaf, line, n, lead, probes) for each distinct line with tokens of each row; all but doc_id, n and
+    lead, the leading tokens that are no variable field, are hashes; ``own`` is the whole text's."""
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("l"))
     clean = F.trim(F.regexp_replace("l", r"\s+", " "))
-    one = one.select("doc_id", F.xxhash64("l").alias("raw"), clean.alias("c")).where("c <> ''")
+    one = one.select("doc_id", "own", F.xxhash64("l").alias("raw"), clean.alias("c")).where("c <> ''")
     digits = F.col("c").rlike("[0-9]")
     masked = F.when(digits, F.regexp_replace(F.regexp_replace("c", FIELD, "<*>"), "[0-9]+", "<*>")).otherwise(F.col("c"))
-    one = one.select("doc_id", "raw", "c", digits.alias("digits"), masked.alias("m")).withColumn("n", F.size(F.split("m", " ")))
+    one = one.select("doc_id", "own", "raw", "c", digits.alias("digits"), masked.alias("m")).withColumn("n", F.size(F.split("m", " ")))
     words = F.regexp_count("m", F.lit(WORD))
     exact = F.when(F.col("digits"), (words < 2) | (3 * words < F.col("n"))).otherwise(False)
-    one = one.select("doc_id", "raw", "n", exact.alias("exact"), "c", "m").withColumn("m", F.when(F.col("exact"), F.col("c")).otherwise(F.col("m")))
-    one = one.select("doc_id", "raw", "n", "exact", "m", F.split("m", " ").alias("t"))
+    one = one.select("doc_id", "own", "raw", "n", exact.alias("exact"), "c", "m").withColumn("m", F.when(F.col("exact"), F.col("c")).otherwise(F.col("m")))
+    one = one.select("doc_id", "own", "raw", "n", "exact", "m", F.split("m", " ").alias("t"))
     at = [F.when(F.col("n") <= LEADING + PROBES, F.lit(LEADING + k)).otherwise(LEADING + F.floor(k * (F.col("n") - LEADING) / PROBES)).cast("int") for k in range(PROBES)]
     leaf = F.xxhash64("n", *(F.get("t", F.lit(k)) for k in range(LEADING)))
     leaf = F.when(F.col("exact"), F.xxhash64("m", F.lit("exact"))).otherwise(leaf)  # a leaf of its own, so no template
     lead = sum(F.coalesce(F.get("t", F.lit(k)) != "<*>", F.lit(False)).cast("int") for k in range(LEADING))
     probes = F.array(*(F.hash(F.get("t", a)) for a in at))
-    return one.select("doc_id", "raw", leaf.alias("leaf"), F.xxhash64("m").alias("line"), "n", lead.alias("lead"), probes.alias("probes"))
+    return one.select("doc_id", "own", "raw", leaf.alias("leaf"), F.xxhash64("m").alias("line"), "n", lead.alias("lead"), probes.alias("probes"))
 
 
 def _first() -> Column:
@@ -99,28 +100,29 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, min_docs_long: int = 2, l
     """``docs`` without the lines of recurring templates in ``text``, and ``n_chars``, where there is one, counted anew in the
     rows that changed. With ``count``, the columns ``n_lines`` and ``n_dropped`` are added."""
     scratch = Scratch(docs.sparkSession, "lines")
-    names = docs.columns
+    names, p = docs.columns, free_prefix(docs.columns, "gone")
     lines = scratch.save(parsed_lines(docs), "lines")
     found = recurring_lines(lines, scratch, min_docs, min_docs_long, long_tokens)
     gone = lines.join(found, ["leaf", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first.id")))
-    gone = gone.groupBy("doc_id").agg(F.collect_set("raw").alias("gone_raw")).select(F.col("doc_id").alias("gone_id"), "gone_raw")
+    gone = gone.groupBy("doc_id", "own").agg(F.collect_set("raw").alias(p + "raw"))
+    gone = gone.select(F.col("doc_id").alias(p + "id"), F.col("own").alias(p + "own"), p + "raw")
     # The lists are small beside the texts: they are hashed, and the texts need no sort.
-    at = docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id"))
+    at = docs["doc_id"].cast("long").eqNullSafe(F.col(p + "id")) & (F.xxhash64(docs["text"]) == F.col(p + "own"))
     joined = docs.join(gone.hint("shuffle_hash"), at, "left")
-    parts = F.split(docs["text"], "\n")
-    left = F.filter(parts, lambda l: ~F.array_contains(F.col("gone_raw"), F.xxhash64(l)))  # noqa: E741
-    text = F.when(F.col("gone_raw").isNull(), docs["text"]).otherwise(F.array_join(left, "\n"))
+    parts, none = F.split(docs["text"], "\n"), F.col(p + "raw").isNull()
+    left = F.filter(parts, lambda l: ~F.array_contains(F.col(p + "raw"), F.xxhash64(l)))  # noqa: E741
+    text = F.when(none, docs["text"]).otherwise(F.array_join(left, "\n"))
     out = []
     for name in names:
         column = docs[name]
         if name == "text":
             column = text.alias(name)
         elif name == "n_chars":
-            column = F.when(F.col("gone_raw").isNull(), column).otherwise(F.length(text)).cast(docs.schema[name].dataType).alias(name)
+            column = F.when(none, column).otherwise(F.length(text)).cast(docs.schema[name].dataType).alias(name)
         out.append(column)
     if count:
         total = F.coalesce(F.size(parts).cast("long"), F.lit(0))
-        out += [total.alias("n_lines"), F.when(F.col("gone_raw").isNull(), 0).otherwise(total - F.size(left)).cast("long").alias("n_dropped")]
+        out += [total.alias("n_lines"), F.when(none, 0).otherwise(total - F.size(left)).cast("long").alias("n_dropped")]
     return joined.select(*out)
 
 
@@ -129,35 +131,45 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring(docs, count=True)
 
 
-#: The same over strings instead of hashes, but for lines of under two constant words, or a third, which it masks too.
+#: The same over strings instead of hashes; a null doc_id is the largest number there.
 OP7_SQL = r"""
 WITH raw AS (
-  SELECT DISTINCT doc_id, UNNEST(string_split(text, chr(10))) AS l FROM documents
+  SELECT DISTINCT coalesce(doc_id, 9223372036854775807) AS doc_id, UNNEST(string_split(text, chr(10))) AS l FROM documents
 ), clean AS (
-  SELECT doc_id, l, trim(regexp_replace(l, '\s+', ' ', 'g')) AS c FROM raw
+  SELECT doc_id, l, trim(regexp_replace(l, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS c FROM raw
 ), tok AS (
-  SELECT doc_id, l, list_transform(string_split(c, ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
+  SELECT doc_id, l, c, list_transform(string_split(c, ' '), lambda x: CASE WHEN NOT regexp_matches(x, '[0-9]') THEN x
+    WHEN length(x) <= 48 AND NOT regexp_matches(x, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]') THEN '<*>'
+    ELSE regexp_replace(x, '[0-9]+', '<*>', 'g') END) AS m
   FROM clean WHERE c <> ''
+), masked AS (
+  SELECT *, len(list_filter(m, lambda x: regexp_matches(x, '\p{L}'))) AS words FROM tok
+), apart AS (
+  SELECT *, regexp_matches(c, '[0-9]') AND (words < 2 OR 3 * words < len(m)) AS exact FROM masked
+), fields AS (
+  SELECT doc_id, l, exact, CASE WHEN exact THEN string_split(c, ' ') ELSE m END AS t FROM apart
 ), lines AS (
-  SELECT doc_id, l, array_to_string(t, ' ') AS line, len(t) AS n, len(t) || '|' || array_to_string(t[1:3], ' ') AS leaf,
+  SELECT doc_id, l, array_to_string(t, ' ') AS line, len(t) AS n,
+    CASE WHEN exact THEN 'exact|' || array_to_string(t, ' ') ELSE len(t) || '|' || array_to_string(t[1:3], ' ') END AS leaf,
+    len(list_filter(t[1:3], lambda x: x <> '<*>')) AS lead,
     list_transform(range(0, 8), lambda k: coalesce(t[(CASE WHEN len(t) <= 11 THEN 4 + k ELSE 4 + (k * (len(t) - 3)) // 8 END)], '')) AS probes
-  FROM tok
+  FROM fields
 ), dist AS (
-  SELECT leaf, line, count(DISTINCT doc_id) AS docs, min(doc_id) AS first, min(n) AS n, min(probes) AS probes FROM lines GROUP BY leaf, line
+  SELECT leaf, line, count(DISTINCT doc_id) AS docs, min(doc_id) AS first, min(n) AS n, min(lead) AS lead, min(probes) AS probes FROM lines GROUP BY leaf, line
 ), wide AS (
   SELECT leaf FROM dist GROUP BY leaf HAVING count(*) > 1 AND min(n) >= 5 AND sum(docs) >= CASE WHEN min(n) >= 20 THEN 2 ELSE 3 END
 ), several AS (
   SELECT * FROM dist WHERE leaf IN (SELECT leaf FROM wide)
 ), pos AS (
-  SELECT leaf, n, docs, k AS slot, probes[k + 1] AS token FROM several, (SELECT UNNEST(range(0, 8)) AS k) WHERE k < n - 3
+  SELECT leaf, n, lead, docs, k AS slot, probes[k + 1] AS token FROM several, (SELECT UNNEST(range(0, 8)) AS k) WHERE k < n - 3
 ), weight AS (
-  SELECT leaf, slot, token, sum(docs) AS w, min(n) AS n FROM pos GROUP BY leaf, slot, token
+  SELECT leaf, slot, token, sum(docs) AS w, min(n) AS n, min(lead) AS lead FROM pos GROUP BY leaf, slot, token
 ), best AS (
-  SELECT leaf, slot, token, n, w, sum(w) OVER (PARTITION BY leaf, slot) AS total, row_number() OVER (PARTITION BY leaf, slot ORDER BY w DESC, token DESC) AS r FROM weight
+  SELECT leaf, slot, token, n, lead, w, sum(w) OVER (PARTITION BY leaf, slot) AS total, row_number() OVER (PARTITION BY leaf, slot ORDER BY w DESC, token DESC) AS r FROM weight
 ), const AS (
-  SELECT leaf, slot, token, n FROM best WHERE r = 1 AND 2 * w >= total
+  SELECT leaf, slot, token, n, lead FROM best WHERE r = 1 AND 2 * w >= total
 ), good AS (
-  SELECT leaf, count(*) AS size FROM const GROUP BY leaf HAVING 5 * count(*) >= 3 * least(8, min(n) - 3) AND count(*) >= 2
+  SELECT leaf, count(*) AS size FROM const GROUP BY leaf HAVING 5 * count(*) >= 3 * least(8, min(n) - 3) AND count(*) >= 2 AND count(*) FILTER (token <> '<*>') + min(lead) >= 2
 ), taken AS (
   SELECT s.leaf, s.line FROM several s JOIN good g ON s.leaf = g.leaf JOIN const c ON c.leaf = s.leaf AND s.probes[c.slot + 1] = c.token
   GROUP BY s.leaf, s.line, g.size HAVING count(*) = g.size
@@ -172,7 +184,8 @@ WITH raw AS (
 ), gone AS (
   SELECT doc_id, list(l) AS gone FROM lines x JOIN recurring r ON x.leaf = r.leaf AND x.line = r.line WHERE x.doc_id <> r.first GROUP BY doc_id
 ), parts AS (
-  SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS p, coalesce(g.gone, []) AS gone FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id
+  SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS p, coalesce(g.gone, []) AS gone
+  FROM documents d LEFT JOIN gone g ON coalesce(d.doc_id, 9223372036854775807) = g.doc_id
 )
 SELECT doc_id, array_to_string(list_filter(p, lambda x: NOT list_contains(gone, x)), chr(10)) AS text, len(p)::BIGINT AS n_lines,
   (len(p) - len(list_filter(p, lambda x: NOT list_contains(gone, x))))::BIGINT AS n_dropped

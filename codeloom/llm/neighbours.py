@@ -1,25 +1,33 @@
 """Operator 9: nearest neighbours by learned partitions.
 
-On a bounded sample (``SAMPLE`` vectors) the graph of each vector's nearest neighbours is cut into balanced parts: splits
-along principal directions give equal parts, and rounds of moves to the part that most neighbours are in lower the
-cut while no part exceeds its capacity. A small network learns, from a vector, the shares of its neighbours' parts, and its
-outputs are shifted until its first choices keep to the capacity too. Every
-row of the table is indexed under its most probable part; a query is routed to its most probable parts, and all rows there
-are ranked by the inner product of the original vectors in double precision. The number of parts probed is the least whose
-recall, measured against brute force on queries of the sample, reaches ``TARGET``.
-
-Parts are split into chunks of about ``CHUNK`` rows by hash, so a part that holds a third of all rows is many tasks; queries
-stream past a chunk. A query's best of each chunk are merged, at most ``k`` of each. Equal vectors have equal scores:
-candidates near the last place are ranked again by sums in one fixed order, and ties go to the smaller vec_id.
+On a bounded sample (``SAMPLE`` vectors, ``SAMPLE_BYTES`` at most) the graph of each vector's nearest neighbours is cut into
+balanced parts: splits along principal directions give equal parts, and rounds of moves to the part that most neighbours
+are in lower the cut while no part exceeds its capacity. A small network learns, from a vector, the shares of its
+neighbours' parts, and its outputs are shifted until its first choices keep to the capacity too. Every row of the table is
+indexed under its most probable part; a query is routed to its most probable parts, and all rows there are ranked by the
+inner product of the original vectors in double precision. Of several numbers of parts the one is taken with which the
+fewest rows are read; the number of parts probed is the least whose recall, measured against brute force on an eighth of
+the sample that neither the graph nor the network has seen, reaches ``TARGET``.
+
+Parts grow in number with the table: a part of over ``LEAF`` rows is cut again in the same way, from a sample of its own
+rows, by a task for each such part, for up to ``LEVELS`` levels (as long as all routers of a level have ``ROUTER_BYTES`` at
+most, which is checked, as they are broadcast). At the defaults that is some 250,000 parts of 65,536 rows.
+
+What is left of large parts, such as copies of one vector, is dealt in chunks of ``CHUNK_BYTES`` by hash, so no part is
+gathered in one task; queries stream past a chunk, and a query is copied to a part once for each chunk. A query's best of
+each chunk are merged, at most ``k`` of each. Equal vectors have equal scores: candidates near the last place are ranked
+again by sums in one fixed order, and ties go to the smaller vec_id.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows of null vec_id;
-vectors of other lengths are searched among their own; rows of equal vec_id are candidates one by one, but never for a query
-of that vec_id; query rows of equal vec_id and vector are one query, those of other vectors have a list each; fewer than ``k`` candidates give all of them; an empty table gives no rows; only vec_id and embedding are
-read.
+vectors of other lengths are searched among their own; a table of fewer than ``2 * ROWS_A_PART`` vectors is one part; rows of
+equal vec_id are candidates one by one, but never for a query of that vec_id; query rows of equal vec_id and vector are one
+query, those of other vectors have a list each; fewer than ``k`` candidates give all of them; an empty table gives no rows;
+only vec_id and embedding are read.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +35,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from codeloom.llm.common import Scratch, group_ends, n_partitions
+from codeloom.llm.common import Scratch, group_ends, n_partitions, whole_groups
 
-SAMPLE, GRAPH_K, ROWS_A_PART, CHUNK, TARGET, HIDDEN, SLACK = 8192, 16, 500, 2048, 0.95, 32, 1.25
-#: Numbers of parts that are tried.
-PARTS = [4, 5, 6, 8, 12, 16, 32, 64, 128]
+SAMPLE, SAMPLE_BYTES, GRAPH_K, ROWS_A_PART, TARGET, HIDDEN, SLACK = 8192, 64 << 20, 16, 64, 0.95, 32, 1.25
+LEAF, LEVELS, ROUTER_BYTES, CHUNK_BYTES = 1 << 16, 3, 64 << 20, 16 << 20
+#: Numbers of parts that are tried; a part's number is its parent's times ``FAN`` and its own.
+PARTS, FAN = [2, 4, 5, 6, 8, 12, 16, 32, 64], 64
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -80,10 +90,15 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
+    probes: int = 1
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2
 
+    def probed(self, x: np.ndarray) -> np.ndarray:
+        """[row, choice]: the parts to probe, most probable first."""
+        return np.argsort(-self.logits(x), axis=1, kind="stable")[:, : self.probes]
+
 
 def learn_router(x: np.ndarray, share: np.ndarray, steps: int = 400, batch: int = 256, rate: float = 0.02, seed: int = 3) -> Router:
     """A network of one hidden layer, by gradient descent (Adam) on the cross entropy with the neighbours' shares."""
@@ -118,37 +133,37 @@ def balance(router: Router, x: np.ndarray, slack: float = SLACK, rounds: int = 2
     router.b2 = router.b2 + shift
 
 
-def learn(x: np.ndarray, n: int, k: int) -> tuple[Router, int]:
-    """The router for a table of ``n`` rows from a sample, and the number of parts to probe.
+def learn(x: np.ndarray, n: int, k: int) -> Router:
+    """The router for ``n`` rows from a sample of them.
 
-    Of several numbers of parts the one is taken with which queries of the sample reach the target over the fewest rows.
+    Of several numbers of parts the one is taken with which held-out queries reach the target over the fewest rows.
     """
     d = x.shape[1]
-    router, probes, cost = Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 1, 1.0
-    parts = [p for p in PARTS if p <= n / ROWS_A_PART and p <= len(x) / (4 * GRAPH_K)]
-    if not parts:
-        return router, probes
-    graph = neighbour_graph(x, GRAPH_K)
-    test = np.random.default_rng(0).permutation(len(x))[:512]
-    s = x[test] @ x.T
-    s[np.arange(len(test)), test] = -np.inf
-    true = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    best, cost = Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), np.inf
+    order = np.random.default_rng(0).permutation(len(x))
+    test, x = x[order[: len(x) // 8]][:1024], x[order[len(x) // 8 :]]
+    near = min(GRAPH_K, len(x) // 8)
+    parts = [p for p in PARTS if p * ROWS_A_PART <= n and 4 * p * near <= len(x) and p <= FAN]
+    if not parts or not near or not len(test):
+        return best
+    k = min(k, len(x))
+    graph = neighbour_graph(x, near)
+    true = np.argpartition(-(test @ x.T), k - 1, axis=1)[:, :k]
     for p in parts:
         part = balanced_parts(x, graph, p)
         share = np.zeros((len(x), p))
-        np.add.at(share, (np.repeat(np.arange(len(x)), GRAPH_K), part[graph].ravel()), 1 / (GRAPH_K + 1))
-        share[np.arange(len(x)), part] += 1 / (GRAPH_K + 1)
+        np.add.at(share, (np.repeat(np.arange(len(x)), near), part[graph].ravel()), 1 / (near + 1))
+        share[np.arange(len(x)), part] += 1 / (near + 1)
         own = learn_router(x, share)
         balance(own, x)
-        logits = own.logits(x)
-        at = logits.argmax(axis=1)
-        order = np.argsort(-logits[test], axis=1, kind="stable")
+        at = own.logits(x).argmax(axis=1)
+        order = np.argsort(-own.logits(test), axis=1, kind="stable")
         need = np.sort(np.take_along_axis(np.argsort(order, axis=1), at[true], axis=1).ravel())
-        m = int(need[int(np.ceil(TARGET * len(need))) - 1]) + 1
-        rows = np.bincount(at, minlength=p)[order[:, :m]].sum() / (len(test) * len(x))
+        own.probes = int(need[int(np.ceil(TARGET * len(need))) - 1]) + 1
+        rows = np.bincount(at, minlength=p)[order[:, : own.probes]].sum() / (len(test) * len(x))
         if rows < cost:
-            router, probes, cost = own, m, rows
-    return router, probes
+            best, cost = own, rows
+    return best
 
 
 def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -173,11 +188,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of each query, all rows being indexed."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    element = vectors.schema["embedding"].dataType
+    kind = "float" if isinstance(element, T.ArrayType) and isinstance(element.elementType, T.FloatType) else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
     rows = rows.where(_valid("v"))
     found = None
     for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect():  # lengths in use: one, as a rule
-        one = _search(rows.where(F.size("v") == r.d), r.d, r.n, k, scratch)
+        one = _search(rows.where(F.size("v") == r.d), r.d, r.n, k, scratch, "<f4" if kind == "float" else "<f8")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -186,39 +203,105 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     return best.select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.minus")).alias("score"))
 
 
-def _search(rows: DataFrame, d: int, n: int, k: int, scratch: Scratch) -> DataFrame:
+_ROUTED = "vec_id long, v binary, part long, probed array<long>"
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray, d: int, kind: str) -> np.ndarray:
+    """Rows of binary vectors in double precision."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, d).astype(np.float64)
+
+
+def _refined(routed: DataFrame, routers: dict[int, Router], d: int, kind: str) -> DataFrame:
+    """Rows and queries of the parts that have a router, moved on to its parts; others to the only part of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                x, part = _vectors(b.column(1), d, kind), b.column(2).to_numpy()
+                new = part * FAN
+                for p in set(part.tolist()) & routers.keys():
+                    own = np.flatnonzero(part == p)
+                    new[own] += routers[p].logits(x[own]).argmax(axis=1)
+                asked = b.column(3).to_pylist()
+                row = np.repeat(np.arange(len(asked)), [len(a or ()) for a in asked])
+                old = np.array([p for a in asked for p in a or ()], dtype=np.int64)
+                rows, parts = [], []
+                for p in set(old.tolist()):
+                    own = row[old == p]
+                    to = routers[p].probed(x[own]) if p in routers else np.zeros((len(own), 1), dtype=np.int64)
+                    rows.append(np.repeat(own, to.shape[1]))
+                    parts.append((to + p * FAN).ravel())
+                more: list[list | None] = [None if a is None else [] for a in asked]
+                for r, p in zip(np.concatenate(rows or [row]).tolist(), np.concatenate(parts or [old]).tolist(), strict=True):
+                    more[r].append(p)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new), pa.array(more, pa.list_(pa.int64()))], names=["vec_id", "v", "part", "probed"])
+
+    return routed.mapInArrow(run, _ROUTED)
+
+
+def _routers(routed: DataFrame, large: DataFrame, d: int, k: int, kind: str, level: int) -> DataFrame:
+    """(part, router) of the parts ``large`` (part, count), each from a sample of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["part"], SAMPLE):
+            begin = 0
+            for end in group_ends(table.column("part").to_numpy()).tolist():
+                own = table.slice(begin, end - begin)
+                router = learn(_vectors(own.column("v"), d, kind)[:SAMPLE], own.column("count")[0].as_py(), k)
+                yield pa.RecordBatch.from_arrays([own.column("part").slice(0, 1).combine_chunks(), pa.array([pickle.dumps(router)])], names=["part", "router"])
+                begin = end
+
+    some = routed.select("part", "v").join(F.broadcast(large), "part").where(F.rand(level) < SAMPLE / F.col("count"))
+    return some.repartition(n_partitions(routed.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, "part long, router binary")
+
+
+def _search(rows: DataFrame, d: int, n: int, k: int, scratch: Scratch, kind: str) -> DataFrame:
     spark = rows.sparkSession
-    sample = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
-    router, probes = learn(np.array([r.v for r in sample], dtype=np.float64).reshape(-1, d), n, k)
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * d)))
+    sample = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("v").toArrow()
+    top = learn(sample.column(0).combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, d), n, k)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            flat = b.column(1).flatten().to_numpy()
-            logits = router.logits(flat.reshape(-1, d))
-            order = np.argsort(-logits, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            raw = flat.tobytes()
-            raw = pa.array([raw[a : a + 8 * d] for a in range(0, len(raw), 8 * d)], pa.binary())
-            probed = [o if q else None for o, q in zip(order.tolist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), raw, pa.array(order[:, 0]), pa.array(probed, pa.list_(pa.int32()))], names=["vec_id", "v", "part", "probed"])
-
-    routed = scratch.save(rows.mapInArrow(route, "vec_id long, v binary, part int, probed array<int>"), f"routed-{d}")
-    counts = {r.part: r["count"] for r in routed.groupBy("part").count().collect()}  # a row for each part
-    chunks = F.create_map(*(F.lit(x) for p, c in counts.items() for x in (p, -(-c // CHUNK)))) if counts else F.lit(None)
-    index = routed.select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id", F.lit(9)), chunks[F.col("part")]).cast("int").alias("chunk"), F.lit(False).alias("query"), F.lit(0).cast("long").alias("q"))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                flat = b.column(1).flatten().to_numpy()
+                x = flat.astype(np.float64).reshape(-1, d)
+                raw, size = flat.astype(kind).tobytes(), np.dtype(kind).itemsize * d
+                raw = pa.array([raw[a : a + size] for a in range(0, len(raw), size)], pa.binary())
+                probed = [o if q else None for o, q in zip(top.probed(x).tolist(), b.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), raw, pa.array(top.logits(x).argmax(axis=1)), pa.array(probed, pa.list_(pa.int64()))], names=["vec_id", "v", "part", "probed"])
+
+    routed = scratch.save(rows.mapInArrow(route, _ROUTED), f"routed-{d}-0")
+    counts = scratch.save(routed.groupBy("part").count(), f"counts-{d}-0")
+    for level in range(1, LEVELS):
+        large = counts.where(F.col("count") > LEAF)
+        if large.isEmpty():
+            break
+        learned = scratch.save(_routers(routed, large, d, k, kind, level), f"routers-{d}-{level}")
+        if learned.agg(F.sum(F.octet_length("router"))).first()[0] > ROUTER_BYTES:
+            break
+        routers = {r.part: pickle.loads(bytes(r.router)) for r in learned.collect()}
+        routed = scratch.save(_refined(routed, routers, d, kind), f"routed-{d}-{level}")
+        scratch.drop(f"routed-{d}-{level - 1}")
+        counts = scratch.save(routed.groupBy("part").count(), f"counts-{d}-{level}")
+
+    rows_a_chunk = max(64, CHUNK_BYTES // (8 * d))
+    chunks = F.broadcast(counts.select("part", F.ceil(F.col("count") / rows_a_chunk).cast("int").alias("chunks")))  # a row for each part
+    index = routed.select("vec_id", "v", "part").join(chunks, "part")
+    index = index.select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id", F.lit(9)), "chunks").cast("int").alias("chunk"), F.lit(False).alias("query"), F.lit(0).cast("long").alias("q"))
     asked = routed.where("probed is not null").select("vec_id", "v", "probed").dropDuplicates(["vec_id", "v"])
-    asked = asked.select("vec_id", "v", F.explode("probed").alias("part"))
-    asked = asked.where(chunks[F.col("part")].isNotNull())
-    asked = asked.select("vec_id", "v", "part", F.explode(F.sequence(F.lit(0), chunks[F.col("part")] - 1)).alias("chunk"), F.lit(True).alias("query"), F.xxhash64("v").alias("q"))
+    asked = asked.select("vec_id", "v", F.explode("probed").alias("part")).join(chunks, "part")
+    asked = asked.select("vec_id", "v", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("query"), F.xxhash64("v").alias("q"))
     both = index.unionByName(asked).repartition(n_partitions(spark), "part", "chunk").sortWithinPartitions("part", "chunk", "query")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held_ids, held = None, [], []
-        kind = pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())]))
+        struct = pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())]))
         for b in batches:
             ids, part, chunk, query, q = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4, 5))
-            v = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.float64).reshape(-1, d)
+            v = _vectors(b.column(1), d, kind)
             begin = 0
             for end in group_ends(part, chunk, query).tolist():
                 if at != (part[begin], chunk[begin]):
@@ -228,10 +311,10 @@ def _search(rows: DataFrame, d: int, n: int, k: int, scratch: Scratch) -> DataFr
                     held.append(v[begin:end])
                 elif held:
                     held_ids, held = [np.concatenate(held_ids)], [np.concatenate(held)]
-                    for lo in range(begin, end, 512):
-                        hi = min(end, lo + 512)
+                    for lo in range(begin, end, 256):
+                        hi = min(end, lo + 256)
                         best = [[{"minus": -x, "vec_id": i} for i, x in zip(i.tolist(), s.tolist(), strict=True)] for i, s in best_of(v[lo:hi], ids[lo:hi], held[0], held_ids[0], k)]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(q[lo:hi]), pa.array(best, kind)], names=["query_id", "q", "best"])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(q[lo:hi]), pa.array(best, struct)], names=["query_id", "q", "best"])
                 begin = end
 
     return both.mapInArrow(rank, "query_id long, q long, best array<struct<minus: double, vec_id: long>>")

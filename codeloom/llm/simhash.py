@@ -5,10 +5,12 @@ included, is hashed by XXH64 (seed 42); a bit is 1 if over half the hashes have
 shingle; a text without words, or a null one, has the fingerprint zero, which links like any other.
 
 Links: fingerprints that differ in at most ``radius`` (3) of 64 bits share one of ``radius + 1`` bit ranges, so distinct
-fingerprints meet in a bucket for each range. In a bucket fingerprints are stored as vertical bit planes, 64 to a word; a
+fingerprints meet in a bucket for each range. A bucket of more than ``HOT`` fingerprints, as all are in a very large table, is
+split by the same argument: of the bits outside its range, cut into ``radius + 1`` ranges, two linked fingerprints share one. What
+is still larger is dealt in chunks, each pair of chunks to a task of its own (``deal``), so no task holds more than two
+chunks of a bucket. In a bucket fingerprints are stored as vertical bit planes, 64 to a word; a
 fingerprint is compared with 64 others by carry-save adders over the planes, and a block is abandoned once all its counts
-exceed the radius. This finds every link. Equal fingerprints are one node, so copies cost nothing; a bucket of more than
-``HOT`` fingerprints is dealt to several tasks, each with a share of its queries. A task hands on a star for each connected
+exceed the radius. This finds every link. Equal fingerprints are one node, so copies cost nothing. A task hands on a star for each connected
 group it sees and never all pairs; the stars are joined by ``connected_components``.
 
 Edge cases: repeated rows and equal doc_ids are rows like others and have their text's fingerprint; a component's id is its
@@ -22,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.llm.common import Scratch, connected_components, group_ends, n_partitions, text_batches, union_labels, whole_groups
+from codeloom.llm.common import Scratch, chunk_sides, connected_components, deal, free_prefix, group_ends, text_batches, union_labels, whole_groups
 
 HOT = 1 << 14
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -120,31 +122,44 @@ def _sliced(fp: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndarray, q
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, np.int64),) * 2
 
 
+def _range(fp: Column, a: int, b: int) -> Column:
+    """Bits ``a`` to ``b`` of a long."""
+    return F.shiftrightunsigned(fp, a).bitwiseAND((1 << (b - a)) - 1 if b - a < 64 else -1)
+
+
+def _cuts(n: int, parts: int) -> list[tuple[int, int]]:
+    edges = [n * k // parts for k in range(parts + 1)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
 def near_links(fps: DataFrame, scratch: Scratch, radius: int = 3) -> DataFrame:
     """(u, v): stars that connect the distinct fingerprints ``fp`` as all links at the radius would."""
-    spark = fps.sparkSession
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-    keys = [
-        F.struct(F.lit(k).alias("part"), F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1 if b - a < 64 else -1).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
-    ]
+    ranges = _cuts(64, radius + 1)
+    keys = [F.struct(F.lit(k).alias("part"), _range(F.col("fp"), a, b).alias("bits")) for k, (a, b) in enumerate(ranges)]
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.part", "k.bits", "fp")
     hot = scratch.save(rows.groupBy("part", "bits").count().where(F.col("count") > HOT), "hot")
+    # Equal hashes of different buckets only make one larger group of two.
     if hot.isEmpty():
-        rows = rows.withColumns({"salt": F.lit(0), "query": F.lit(True)})
+        rows = rows.select(F.xxhash64("part", "bits").alias("bucket"), "fp")
     else:
-        rows = rows.join(hot, ["part", "bits"], "left").withColumn("salts", F.ceil(F.coalesce("count", F.lit(1)) / HOT).cast("int"))
-        rows = rows.select("part", "bits", "fp", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        rows = rows.select("part", "bits", "fp", "salt", (F.pmod(F.xxhash64("fp"), "salts") == F.col("salt")).alias("query"))
-    rows = rows.repartition(n_partitions(spark), "part", "bits", "salt").sortWithinPartitions("part", "bits", "salt")
+        subs = F.lit(None)
+        for k, (a, b) in enumerate(ranges):
+            turned = F.shiftrightunsigned("fp", b % 64).bitwiseOR(F.shiftleft("fp", (64 - b) % 64))  # the other bits come first
+            other = F.array(*(F.xxhash64("part", "bits", F.lit(j), _range(turned, c, d)) for j, (c, d) in enumerate(_cuts(64 - b + a, radius + 1))))
+            subs = F.when(F.col("part") == k, other).otherwise(subs)
+        rows = rows.join(hot, ["part", "bits"], "left")
+        rows = rows.select(F.explode(F.when(F.col("count").isNull(), F.array(F.xxhash64("part", "bits"))).otherwise(subs)).alias("bucket"), "fp")
+    rows, by = deal(rows, "bucket", "fp", HOT, scratch, "hot-chunks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = ["part", "bits", "salt"]
-        for table in whole_groups(batches, by, 1 << 16):
+        for table in whole_groups(batches, by, 1 << 15):
             fp = table.column("fp").to_numpy().view(np.uint64)
             hi = group_ends(*(table.column(k).to_numpy() for k in by))
             lo = np.concatenate(([0], hi[:-1]))
             group = np.repeat(np.arange(len(hi)), hi - lo)
-            query = table.column("query").to_numpy() & (hi - lo > 1)[group]
+            query = (hi - lo > 1)[group]
+            if sides := chunk_sides(table):  # of two chunks, one asks
+                query &= ~sides[1] | (sides[0] == table.column("a").to_numpy())
             a, b = _sliced(fp, group, lo, hi, query, radius)
             if len(a):
                 label = union_labels(len(fp), a, b)
@@ -176,15 +191,14 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     Rows of equal doc_id are told apart by their fingerprints; of rows equal in both any one stays.
     """
     scratch = Scratch(docs.sparkSession, "simhash-one")
-    names, fp = docs.columns, "fp"
-    while fp in names:
-        fp += "_"
+    names, p = docs.columns, free_prefix(docs.columns, "simhash")
+    fp = p + "fp"
     tagged = scratch.save(_with_fp(docs, names.index("text"), True, fp), "tagged")
     prints = tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
     stay = prints.join(components(prints, scratch, radius), "fp").groupBy("component").agg(first).select("first.doc_id", "first.fp")
-    stay = stay.select(F.col("doc_id").alias("stay_id"), F.col("fp").alias("stay_fp"))
-    same = (F.col(fp) == F.col("stay_fp")) & tagged["doc_id"].cast("long").eqNullSafe(F.col("stay_id"))
+    stay = stay.select(F.col("doc_id").alias(p + "stay_id"), F.col("fp").alias(p + "stay_fp"))
+    same = (F.col(fp) == F.col(p + "stay_fp")) & tagged["doc_id"].cast("long").eqNullSafe(F.col(p + "stay_id"))
     kept = tagged.join(stay, same, "left_semi")
     if not prints.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", fp])

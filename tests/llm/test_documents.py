@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -130,6 +131,35 @@ def test_lines_of_odd_tables(spark, odd_docs, no_docs, rows_of):
     assert line_dedup.drop_recurring(no_docs).count() == 0
 
 
+def test_names_like_those_of_the_operators(spark, rows_of):
+    """Columns named as the operators name theirs are passed on."""
+    mark = " ".join("abcdefghijklmnopqrstuvwxyz")
+    schema = "doc_id long, text string, gone_raw string, GONE_ID long, gone long, stay_fp long, stay_id long, simhashfp int, near string, leaf int, first int"
+    rows = [(k, f"own {'abcd'[k]}\n{mark}", "r", 1, 2, 3, 4, 5, "n", 6, 7) for k in range(4)] + [(None, mark, *[None] * 9)]
+    docs = spark.createDataFrame(rows, schema)
+    for run, left in ((line_dedup.drop_recurring, 5), (simhash.keep_one, 5), (near_dedup.keep_one, 1)):
+        out = run(docs)
+        assert out.dtypes == docs.dtypes and out.count() <= left
+    out = line_dedup.drop_recurring(docs)
+    assert rows_of(out.where("doc_id > 0"), "doc_id", "text", "gone_raw", "GONE_ID") == [(k, f"own {'abcd'[k]}", "r", 1) for k in (1, 2, 3)]
+    assert out.where("doc_id is null").first().text == "" and out.where("doc_id = 0").first().text == rows[0][1]
+
+
+def test_sql_and_operator_on_lines_of_numbers_and_nulls(spark, tmp_path):
+    """Null ids, lines of numbers, unspaced scripts and long tokens: the SQL and the operator agree."""
+    r = np.random.default_rng(12)
+    bits = ["total", "of", "7", "x9", "看到202年", "a" * 50 + "1", "-", "12.5", "sum", "end", "line", "up", "3"]
+    texts = ["\n".join(" ".join(r.choice(bits, r.integers(1, 9))) for _ in range(r.integers(1, 6))) for _ in range(400)]
+    rows = [(None if k % 40 == 0 else k // 2, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(line_dedup.OP7_SQL).fetchall()
+    got = [tuple(x) for x in line_dedup.op7_line_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(x[3] for x in got) > 50
+
+
 def test_op7_equals_sql(spark, sf):
     got = line_dedup.op7_line_dedup(spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
     con = duckdb.connect()
@@ -182,6 +212,21 @@ def test_sliced_comparison_finds_every_link(spark, monkeypatch):
         assert [got.get(int(f), int(f)) for f in fps] == want.tolist()
 
 
+def test_a_large_bucket_is_split_in_bounded_memory(spark):
+    """300,000 fingerprints that share a range of bits: linked pairs are found, and no group holds more than two chunks."""
+    r = np.random.default_rng(9)
+    fps = np.unique((r.integers(0, 2**48, 300_000) << 16) | 77)
+    linked = fps[::1000]
+    fps = np.unique(np.concatenate([fps, linked ^ (0b111 << 20), linked ^ (1 << 63 - 1) ^ (1 << 30)]))
+    df = spark.createDataFrame(pa.table({"fp": fps})).repartition(8)
+    import resource
+
+    scratch = Scratch(spark, "t")
+    got = {x.node: x.component for x in connected_components(simhash.near_links(df, scratch), scratch).collect()}
+    assert all(got[int(a)] == got[int(a ^ (0b111 << 20))] == got[int(a ^ (1 << 63 - 1) ^ (1 << 30))] for a in linked)
+    assert resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss < 1 << 20  # KB of any one worker
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(60)] + [(1000, k) for k in range(1001, 1300)] + [(5000, 5000), (None, 3), (7000, 7001), (7001, 7000), (7000, 7001)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}

@@ -93,7 +93,7 @@ def test_odd_vectors(spark):
 
 
 def test_neighbours_recall_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "CHUNK", 100)
+    monkeypatch.setattr(neighbours, "CHUNK_BYTES", 100 * 8 * 16)
     r = np.random.default_rng(1)
     x = np.concatenate([c + r.normal(size=(600, 16)) for c in 6 * r.normal(size=(5, 16))])
     x[50:90] = x[50]
@@ -120,13 +120,50 @@ def test_parts_are_balanced():
     assert np.bincount(part, minlength=6).max() <= np.ceil(neighbours.SLACK * 1500 / 6)
 
 
-def test_queries(spark, sf):
+def test_parts_of_parts(spark, monkeypatch):
+    """Parts that are too large are cut again, twice, and recall holds; few of the rows are read."""
+    for name, value in (("LEAF", 300), ("SAMPLE", 1500), ("PARTS", [2, 4, 8])):
+        monkeypatch.setattr(neighbours, name, value)
+    r = np.random.default_rng(4)
+    x = np.concatenate([c + 0.3 * r.normal(size=(200, 12)) for c in 4 * r.normal(size=(30, 12))])
+    x[100:1200] = x[100]  # a part that cannot be cut
+    x = x.astype(np.float32).astype(np.float64)
+    found = {}
+    for f in neighbours.search(_frame(spark, x), F.col("vec_id") % 20 == 0, k=10).collect():
+        found.setdefault(f.query_id, []).append(f.vec_id)
+    assert len(found) == 300 and all(len(set(v)) == 10 for v in found.values())
+    assert measure_recall.neighbours_recall(x, found, 10) >= 0.9
+
+
+def test_router_at_every_size():
+    """From 128 vectors on there are parts, and the recall that is aimed at holds for queries that were held out."""
+    r = np.random.default_rng(6)
+    assert len(neighbours.learn(r.normal(size=(127, 8)), 127, 20).b2) == 1
+    for n in (150, 600, 4000):
+        x = np.concatenate([c + 0.5 * r.normal(size=(n // 10, 8)) for c in 4 * r.normal(size=(10, 8))])
+        fresh = x[r.permutation(len(x))[:200]] + 0.1 * r.normal(size=(min(200, len(x)), 8))
+        router = neighbours.learn(x, n, 20)
+        assert len(router.b2) > 1
+        true = np.argpartition(-(fresh @ x.T), 19, axis=1)[:, :20]
+        at = router.logits(x).argmax(axis=1)
+        assert np.mean([np.isin(at[t], p).mean() for t, p in zip(true, router.probed(fresh), strict=True)]) >= 0.9
+
+
+def test_op5_and_op9(spark, sf):
+    """Both queries over the whole table against brute force."""
     e = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
-    x = np.array([r.embedding for r in e], dtype=np.float64)
+    x, at = np.array([r.embedding for r in e], dtype=np.float64), {r.vec_id: k for k, r in enumerate(e)}
     rows = neighbours.op9_neighbours(spark, sf).collect()
-    assert len(rows) == 20 * sum(r.vec_id % 20 == 0 for r in e)
-    q = rows[0].query_id
-    s = x @ x[q]
-    s[q] = -np.inf
-    assert {r.vec_id for r in rows if r.query_id == q} == set(np.argsort(-s)[:20].tolist())
-    assert embedding_dedup.op5_embedding_dedup(spark, sf).count() == len(e)
+    assert len(rows) == 20 * sum(r.vec_id % 20 == 0 for r in e) and len({(r.query_id, r["rank"]) for r in rows}) == len(rows)
+    assert all(abs(x[at[r.query_id]] @ x[at[r.vec_id]] - r.score) < 1e-9 and r.query_id != r.vec_id for r in rows)
+    found, last = {}, {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(at[r.query_id], []).append(at[r.vec_id])
+        now = (-r.score, r.vec_id)
+        assert last.get(r.query_id, (-np.inf, 0)) < now
+        last[r.query_id] = now
+    assert measure_recall.neighbours_recall(x, found) >= 0.9
+    got = embedding_dedup.op5_embedding_dedup(spark, sf).orderBy("vec_id").collect()
+    links, recall, label = measure_recall.links_recall(x, np.array([r.n_links for r in got]))
+    assert len(got) == len(e) and recall >= 0.99 * (links > 0)
+    assert np.mean([r.component_id == e[k].vec_id and r.kept == (r.vec_id == r.component_id) for r, k in zip(got, label.tolist(), strict=True)]) >= 0.99
