@@ -5,8 +5,8 @@ balanced parts: splits along principal directions give equal parts, and rounds o
 are in lower the cut while no part exceeds its capacity. A small network learns, from a vector, the shares of its
 neighbours' parts, and its outputs are shifted until its first choices keep to the capacity too. Every row of the table is
 indexed under its most probable part; a query is routed to its most probable parts, and all rows there are ranked by the
-inner product of the original vectors in double precision. Of several numbers of parts the one is taken with which the
-fewest rows are read; the number of parts probed is the least whose recall, measured against brute force on an eighth of
+inner product of the original vectors in double precision. Of several numbers of parts the one is taken with which a query
+costs least (rows read, and copies of it); the number of parts probed is the least whose recall, measured against brute force on an eighth of
 the sample that neither the graph nor the network has seen, reaches ``TARGET``.
 
 Parts grow in number with the table: a part of over ``LEAF`` rows is cut again in the same way, from a sample of its own
@@ -41,6 +41,8 @@ from codeloom.llm.common import Scratch, group_ends, n_partitions, whole_groups
 
 SAMPLE, SAMPLE_BYTES, GRAPH_K, ROWS_A_PART, TARGET, HIDDEN, SLACK = 8192, 64 << 20, 16, 64, 0.95, 32, 1.25
 LEAF, LEVELS, ROUTER_BYTES, CHUNK_BYTES = 1 << 16, 3, 64 << 20, 16 << 20
+#: Rows whose reading costs as much as one more copy of a query.
+PROBE_ROWS = 500
 #: Numbers of parts that are tried; a part's number is its parent's times ``FAN`` and its own.
 PARTS, FAN = [2, 4, 5, 6, 8, 12, 16, 32, 64], 64
 
@@ -136,7 +138,8 @@ def balance(router: Router, x: np.ndarray, slack: float = SLACK, rounds: int = 2
 def learn(x: np.ndarray, n: int, k: int) -> Router:
     """The router for ``n`` rows from a sample of them.
 
-    Of several numbers of parts the one is taken with which held-out queries reach the target over the fewest rows.
+    Of several numbers of parts the one is taken with which held-out queries reach the target at the least cost: the rows
+    that are read for a query, and ``PROBE_ROWS`` for each part that it is copied to.
     """
     d = x.shape[1]
     best, cost = Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), np.inf
@@ -160,7 +163,8 @@ def learn(x: np.ndarray, n: int, k: int) -> Router:
         order = np.argsort(-own.logits(test), axis=1, kind="stable")
         need = np.sort(np.take_along_axis(np.argsort(order, axis=1), at[true], axis=1).ravel())
         own.probes = int(need[int(np.ceil(TARGET * len(need))) - 1]) + 1
-        rows = np.bincount(at, minlength=p)[order[:, : own.probes]].sum() / (len(test) * len(x))
+        share = np.bincount(at, minlength=p)[order[:, : own.probes]].sum() / (len(test) * len(x))
+        rows = share * n + own.probes * PROBE_ROWS
         if rows < cost:
             best, cost = own, rows
     return best

@@ -6,11 +6,11 @@ max-pooled, a linear layer makes a logit of the pooled outputs, and the mean of
 sigmoid is the score. Whole texts are scored, whatever their length, in pieces of bounded size.
 
 Training is on the driver, on at most ``MAX_ROWS`` labelled rows and ``MAX_CHUNKS`` evenly spaced chunks of each: a
-documented bound of the sample, about 12 MB. Rows with crc32(doc_id as text) mod 5 = 0 are held out. Only the text enters.
+documented bound of the sample, about 12 MB, whatever the ids; of an id's repeated rows those of smallest hash count first. Rows with crc32(doc_id as text) mod 5 = 0 are held out. Only the text enters.
 
 Edge cases: a null or empty text is scored like any other, as padding alone; a null doc_id is held out; null labels are not
 used; if no labelled row, or only one class, can be learned from, every score is the share of label 1 among them (0.5 if
-none); repeated rows and labels count as often as they occur; an empty table gives no rows; other columns are not read by
+none); repeated rows and labels count as often as they occur, within the bound; an empty table gives no rows; other columns are not read by
 ``score`` and are passed on by ``keep_good``.
 """
 
@@ -147,7 +147,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on the labelled rows of smallest hash; their ids (at most ``max_rows``) are broadcast, so texts aren't shuffled."""
+    """Fit on the labelled rows of smallest hash; their ids (at most ``max_rows``) are broadcast, so texts aren't shuffled.
+
+    Each task hands on ``max_rows`` samples at most, so ids of many rows are no more than others.
+    """
     of = labels.select(F.col("doc_id").cast("long").alias("sample_id"), F.col("quality").cast("double").alias("label"))
     of = of.where(F.col("label").isin(0.0, 1.0) & ~held_out(F.col("sample_id")))
     of = of.orderBy(F.xxhash64("sample_id"), "sample_id", "label").limit(max_rows)
@@ -158,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     own = own.join(F.broadcast(of), F.col("id") == F.col("sample_id")).select("id", "label", "text")
-    rows = own.mapInArrow(cut, "id long, label double, chunks binary").collect()
+    sampled = own.mapInArrow(cut, "id long, label double, chunks binary")
+    rows = sampled.orderBy(F.xxhash64("id"), F.xxhash64("chunks"), "label").limit(max_rows).collect()
     rows.sort(key=lambda r: (r.id, r.label, bytes(r.chunks)))
     return fit([bytes(r.chunks) for r in rows], np.array([r.label for r in rows]))
 

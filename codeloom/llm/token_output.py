@@ -78,28 +78,53 @@ def read_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int | None = None) -> None:
     """Encode ``text`` of every row and write the ids, with ``end_id`` after each document, by ascending doc_id.
 
-    Bounds of the shards are quantiles of doc_id (one column is scanned); rows are encoded where they are read, and what
-    is shuffled to the shards are the coded words, about two bytes an id. A task holds one segment at a time.
+    Bounds of the shards are quantiles of doc_id (one column is scanned). An id that takes several quantiles has as many
+    shards, as do null ids by their share: ranges of the documents' checksums, which come after the id in the order. Rows are
+    encoded where they are read, and what is shuffled to the shards are the coded words, about two bytes an id. A task
+    holds one segment at a time.
     """
     spark = docs.sparkSession
     shards = shards or n_partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cuts = [k / shards for k in range(1, shards)]
-    bounds = docs.select(F.percentile_approx("doc_id", cuts, 10_000)).first()[0] if cuts else None
-    bounds = sorted(set(bounds or []))
+    asked = docs.select(F.percentile_approx("doc_id", cuts or [0.5], 10_000), F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    quantiles, nulls, rows = asked[0] or [], asked[1], asked[2]
+    bounds = sorted(set(quantiles)) if cuts else []
+    # Shards in order; a group of ids has one or, where it is one hot id, several by checksum: null ids, if they are that
+    # many; then for each bound the ids up to it, and by itself a bound that several quantiles share; what is above the last.
+    split: list[int] = [nulls * shards // rows] if rows and nulls * shards >= rows else []
+    below, of_bound = [], []
+    for b in bounds:
+        below.append(len(split))
+        split.append(1)
+        if (n := quantiles.count(b)) > 1:
+            split.append(n - 1)
+        of_bound.append(len(split) - 1)
+    below.append(len(split))
+    split.append(1)
+    first = np.concatenate(([0], np.cumsum(split))).tolist()
+
+    def shard_of(doc_id: int | None, crc: int) -> int:
+        if doc_id is None:
+            group = 0  # its own, or the one of the smallest ids
+        else:
+            at = bisect.bisect_left(bounds, doc_id)
+            group = of_bound[at] if at < len(bounds) and bounds[at] == doc_id else below[at]
+        return first[group] + (crc * split[group] >> 32)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in text_batches(batches, 2048, 8 << 20):
             doc_ids = batch.column(0).to_pylist()
             raw = enc.encode_many(batch.column(1), end_id)
+            crcs = [zlib.crc32(b) for b in raw]
             coded = simple8b.encode([np.frombuffer(b, dtype="<u4") for b in raw])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([0 if d is None else bisect.bisect_right(bounds, d) for d in doc_ids], pa.int32()),
+                    pa.array([shard_of(d, c) for d, c in zip(doc_ids, crcs, strict=True)], pa.int32()),
                     batch.column(0),
                     pa.array([len(b) // 4 for b in raw], pa.int64()),
-                    pa.array([zlib.crc32(b) for b in raw], pa.int64()),
+                    pa.array(crcs, pa.int64()),
                     pa.array([s.astype("<u4").tobytes() for _, s in coded], pa.binary()),
                     pa.array([w.astype("<u8").tobytes() for w, _ in coded], pa.binary()),
                 ],
@@ -131,7 +156,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
         if held:
             yield segment()
 
-    coded = docs.mapInArrow(code, CODED).repartitionById(len(bounds) + 1, F.col("shard"))
+    coded = docs.mapInArrow(code, CODED).repartitionById(first[-1], F.col("shard"))
     coded.sortWithinPartitions("shard", "doc_id", "crc", "n_ids").mapInArrow(gather, SEGMENT).write.mode("overwrite").parquet(path)
 
 

@@ -1,4 +1,7 @@
+import functools
 import random
+import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -61,6 +64,41 @@ def test_best_sequence_and_round_trip(vocabulary):
         assert _score(vocabulary, ids) == pytest.approx(_best(vocabulary, "▁" + text.replace(" ", "▁")))
 
 
+def test_long_words_are_bounded(vocabulary):
+    """Megabytes without a space: settled bit by bit, with the ids that the whole word has."""
+    import tracemalloc
+
+    r = random.Random(5)
+    word = "".join(r.choices(["the", "ing", "中", "é", "q", "0", "zx"], k=3000))
+    want = vocabulary.viterbi("▁" + word)
+    assert _score(vocabulary, want) == pytest.approx(_best_windowed(vocabulary, "▁" + word))
+    tracemalloc.start()
+    ids = np.frombuffer(vocabulary.encode(word * 100), "<u4")
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+    assert vocabulary.decode(ids.tobytes()) == word * 100
+    assert vocabulary.decode(vocabulary.encode("a" * 300_000)) == "a" * 300_000
+
+
+@functools.cache
+def _known_scores():
+    v = pieces.vocabulary(PATH)
+    return {p: v.scores[k] for k, (p, _, t) in enumerate(v.pieces) if t in (pieces.NORMAL, pieces.USER)}
+
+
+def _best_windowed(v, text):
+    """As ``_best``, in a window of the longest piece."""
+    by = _known_scores()
+    longest = max(map(len, by))
+    best = [0.0] + [-np.inf] * len(text)
+    for end in range(1, len(text) + 1):
+        for begin in range(max(0, end - longest), end):
+            s = by.get(text[begin:end], v.unknown_score if end - begin == 1 else None)
+            if s is not None and best[begin] + s > best[end]:
+                best[end] = best[begin] + s
+    return best[-1]
+
+
 def test_bytes_that_are_no_text(vocabulary):
     assert vocabulary.decode(np.array([vocabulary.byte[0xFF], vocabulary.byte[0xE4]], "<u4").tobytes()) == "��"
 
@@ -71,6 +109,22 @@ def test_odd_documents(odd_docs, no_docs, rows_of):
     assert pieces.encode(no_docs, PATH).count() == 0
 
 
+def test_op2_is_the_best_sequence(spark, sf):
+    """The query's ids of the whole table: a plain search over all cuts of each distinct word, the words one after another."""
+    v, memo = pieces.vocabulary(PATH), {}
+    got = {r.doc_id: r for r in pieces.op2_sentencepiece(spark, sf).collect()}
+    encoded = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4") for r in pieces.encode(spark.read.parquet(f"{sf}/documents.parquet"), PATH).collect()}
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = encoded[d.doc_id]
+        assert (got[d.doc_id].n_pieces, got[d.doc_id].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+        want = 0.0
+        for word in re.findall("▁*[^▁\n]+|▁+|\n", "▁" + d.text.replace(" ", "▁")) if d.text else ():
+            if word not in memo:
+                memo[word] = _best_windowed(v, word)
+            want += memo[word]
+        assert _score(v, ids.tolist()) == pytest.approx(want)
+
+
 def test_op2(spark, sf):
     got = pieces.op2_sentencepiece(spark, sf)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("decoded_sha256"), F.length("text").cast("long").alias("n_chars"))
