@@ -7,6 +7,9 @@ import os
 from pyspark.sql import SparkSession
 
 
+__version__ = "0.2.0"
+
+
 def attach(spark: SparkSession) -> SparkSession:
     """Let this session's Python workers import the package from where the driver has it.
 

@@ -9,7 +9,7 @@ from codeloom.schema import RESOLVED, TYPE_KINDS
 
 
 def risk_level(depth: Column, confidence: Column) -> Column:
-    return F.when((depth <= 1) & (confidence >= 0.8), "will_break").when((depth <= 2) & (confidence >= 0.5), "likely_affected").otherwise("possibly_affected")
+    return F.when((depth <= 1) & (confidence >= 0.8), "will_break").when((depth <= 2) & (confidence >= 0.5), "likely_affected").otherwise("possible")
 
 
 def is_resolved(confidence: Column, candidates: Column) -> Column:

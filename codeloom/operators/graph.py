@@ -1,7 +1,8 @@
 """Graph operators: neighbours, blast radius, paths, closures and bounded personalised PageRank.
 
-Every walk is a fixed number of joins between a frontier and the edge table; nothing is collected. A frontier is small
-beside the edges, so Spark broadcasts it where it knows its size to be small, and shuffles on the join key otherwise.
+Every walk is a number of joins between a frontier and the edge table; nothing is collected. Each frontier is written, so a
+step reads tables and never computes the steps before it again, and Spark knows its size: a small one is broadcast and the
+edges are only scanned; else both are shuffled on the join key.
 """
 
 from __future__ import annotations
@@ -31,18 +32,22 @@ def _one_edge(rows: DataFrame, *keys: str) -> DataFrame:
 def blast_radius(edges: DataFrame, seeds: DataFrame, depth: int, min_confidence: float = 0.5) -> DataFrame:
     """(seed, id, depth, confidence, type, via, risk): what reaches a seed over up to ``depth`` edges, first visit only.
 
-    ``seeds`` has the column ``seed``; all seeds are walked at once.
+    ``seeds`` has the column ``seed``; all seeds are walked at once. Stops where nothing new is reached.
     """
+    work = Work(edges.sparkSession, "radius")
     edges = edges.where(F.col("confidence") >= min_confidence).select("from_id", "to_id", "type", "confidence")
-    visited = seeds.select("seed", F.col("seed").alias("id")).distinct()
-    frontier, found = visited, []
+    start = work.save(seeds.select("seed").distinct(), "seeds").select("seed", F.col("seed").alias("id"))
+    visited, frontier, found = start, start, []
     for hop in range(1, depth + 1):
-        step = frontier.join(edges, frontier["id"] == edges["to_id"]).select("seed", F.col("from_id").alias("id"), "type", "confidence", F.col("to_id").alias("via"))
+        step = frontier.join(edges, F.col("id") == F.col("to_id")).select("seed", F.col("from_id").alias("id"), "type", "confidence", F.col("to_id").alias("via"))
         step = _one_edge(step.join(visited, ["seed", "id"], "left_anti"), "seed", "id").withColumn("depth", F.lit(hop))
+        step = work.save(step, str(hop))
         found.append(step)
+        if hop < depth and step.isEmpty():
+            break
         frontier = step.select("seed", "id")
         visited = visited.unionByName(frontier)
-    out = reduce(DataFrame.unionByName, found)
+    out = reduce(DataFrame.unionByName, found) if found else start.limit(0).selectExpr("seed", "id", "1D confidence", "'' type", "'' via", "0 depth")
     return out.withColumn("risk", risk_level(F.col("depth"), F.col("confidence")))
 
 
@@ -50,44 +55,73 @@ def blast_summary(radius: DataFrame) -> DataFrame:
     return radius.groupBy("seed", "risk").agg(F.count("*").alias("n"))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, min_confidence: float = 0.0) -> DataFrame:
-    """(from_id, to_id, hops, path): a shortest path along edges for each of ``pairs``; pairs without one are absent.
+def path_steps(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, min_confidence: float = 0.0, counts: dict[str, int] | None = None) -> DataFrame:
+    """(from_id, to_id, step, id, type, confidence): a shortest path along edges for each of ``pairs``; pairs without one are
+    absent. ``type`` and ``confidence`` are of the edge into the step's node, ``seed`` and 1 at the start.
 
-    Levels go forward from all starts at once; a node keeps the parent of the most confident edge, then the type, then the
-    parent's id. A start that is its own end has a path of no hops.
+    Levels go forward from the starts whose ends aren't all reached, all at once; a node keeps the parent of the most
+    confident edge, then the type, then the parent's id. Levels hold parents, not paths: paths are read backward from the
+    ends. A start that is its own end has a path of no hops. ``counts`` takes how many ``nodes`` the levels have, and ``edges``
+    at them.
     """
+    work = Work(edges.sparkSession, "paths")
     edges = edges.where(F.col("confidence") >= min_confidence).select(F.col("from_id").alias("via"), F.col("to_id").alias("next"), "type", "confidence")
-    level = pairs.select(F.col("from_id").alias("start")).distinct().select("start", F.col("start").alias("id"), F.array("start").alias("path"))
-    visited, levels = level.select("start", "id"), [level]
-    for _ in range(max_hops):
-        step = level.join(edges, level["id"] == edges["via"]).select("start", F.col("next").alias("id"), "type", "confidence", "via", "path")
-        step = step.join(visited, ["start", "id"], "left_anti")
-        step = step.groupBy("start", "id").agg(F.min(F.struct((-F.col("confidence")).alias("minus"), "type", "via", "path")).alias("best"))
-        level = step.select("start", "id", F.concat("best.path", F.array("id")).alias("path"))
-        visited = visited.unionByName(level.select("start", "id"))
-        levels.append(level)
-    reached = reduce(DataFrame.unionByName, levels)
-    found = pairs.select("from_id", "to_id").distinct().join(reached, (F.col("from_id") == F.col("start")) & (F.col("to_id") == F.col("id")))
-    return found.select("from_id", "to_id", (F.size("path") - 1).alias("hops"), F.array_join("path", ">").alias("path"))
-
-
-def ancestors(supertypes: DataFrame, max_depth: int = 16) -> DataFrame:
+    left = work.save(pairs.select("from_id", "to_id").distinct(), "pairs")
+    first = left.select(F.col("from_id").alias("start")).distinct()
+    seed = (F.lit("seed").alias("type"), F.lit(1.0).alias("confidence"))
+    levels = [work.save(first.select("start", F.col("start").alias("id"), F.lit(None).cast("string").alias("via"), *seed), "0")]
+    visited, ends = levels[0].select("start", "id"), []
+    for hop in range(max_hops + 1):
+        if hop:
+            step = levels[-1].select("start", "id").join(edges, F.col("id") == F.col("via")).select("start", F.col("next").alias("id"), "type", "confidence", "via")
+            levels.append(work.save(_one_edge(step.join(visited, ["start", "id"], "left_anti"), "start", "id"), str(hop)))
+            visited = visited.unionByName(levels[-1].select("start", "id"))
+        hit = levels[-1].join(left, (F.col("start") == F.col("from_id")) & (F.col("id") == F.col("to_id")), "left_semi").select("start", "id")
+        ends.append(work.save(hit.withColumn("end", F.col("id")), f"end-{hop}"))
+        left = work.save(left.join(ends[-1].select(F.col("start").alias("from_id"), F.col("id").alias("to_id")), ["from_id", "to_id"], "left_anti"), f"left-{hop}")
+        if hop < max_hops:
+            # Starts that have reached all their ends go no further.
+            levels[-1] = work.save(levels[-1].join(left.select(F.col("from_id").alias("start")).distinct(), "start", "left_semi"), f"open-{hop}") if hop else levels[-1]
+            if left.isEmpty() or levels[-1].isEmpty():
+                break
+    if counts is not None:
+        counts["nodes"] = visited.count()
+        counts["edges"] = sum(level.select("start", "id").join(edges, F.col("id") == F.col("via")).count() for level in levels[: len(ends) - 1])
+    out, wanted = [], None
+    for hop in range(len(ends) - 1, -1, -1):
+        wanted = ends[hop] if wanted is None else wanted.unionByName(ends[hop])
+        known = edges.sparkSession.read.schema(levels[hop].schema).parquet(f"{work.root}/{hop}")  # with the starts that are done
+        on = work.save(wanted.join(known, ["start", "id"]), f"on-{hop}")
+        out.append(on.select(F.col("start").alias("from_id"), F.col("end").alias("to_id"), F.lit(hop).alias("step"), "id", "type", "confidence"))
+        wanted = on.where("via is not null").select("start", F.col("via").alias("id"), "end")
+    return reduce(DataFrame.unionByName, out)
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, min_confidence: float = 0.0) -> DataFrame:
+    """(from_id, to_id, hops, path): the paths of ``path_steps``, their ids joined by ``>``."""
+    steps = path_steps(edges, pairs, max_hops, min_confidence).groupBy("from_id", "to_id")
+    found = steps.agg(F.max("step").alias("hops"), F.array_sort(F.collect_list(F.struct("step", "id"))).alias("ids"))  # max_hops + 1 at most
+    return found.select("from_id", "to_id", "hops", F.array_join(F.col("ids.id"), ">").alias("path"))
+
+
+def ancestors(supertypes: DataFrame) -> DataFrame:
     """(type, ancestor, dist) of ``supertypes`` (sub, sup): each type itself at 0, and each supertype at its least distance.
 
-    Stops when a level is empty. The least distance decides in a cycle. Each level is written, so the next one's plan is short.
+    Goes on until a level is empty, however long the chains are; the least distance decides in a cycle. Each level is written,
+    so the next one's plan is short.
     """
     work = Work(supertypes.sparkSession, "ancestors")
     pairs = work.save(supertypes.select("sub", "sup").distinct(), "pairs")
     types = pairs.select(F.col("sub").alias("type")).unionByName(pairs.select(F.col("sup").alias("type"))).distinct()
     level = types.select("type", F.col("type").alias("ancestor"))
-    out = level.withColumn("dist", F.lit(0))
-    for dist in range(1, max_depth + 1):
+    out, dist = level.withColumn("dist", F.lit(0)), 0
+    while True:
+        dist += 1
         step = level.join(pairs, F.col("ancestor") == F.col("sub")).select("type", F.col("sup").alias("ancestor")).distinct()
-        level = work.save(step.join(out, ["type", "ancestor"], "left_anti"), str(dist))
+        level = work.save(step.join(out.select("type", "ancestor"), ["type", "ancestor"], "left_anti"), str(dist))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level.withColumn("dist", F.lit(dist)))
-    return out
 
 
 def personalised_pagerank(edges: DataFrame, seeds: DataFrame, hops: int = 2, damping: float = 0.85, least: float = 1e-4, min_confidence: float = 0.5) -> DataFrame:
@@ -96,14 +130,15 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, hops: int = 2, dam
     Each edge passes on its confidence's share of the weight, damped; shares under ``least`` are dropped edge by edge. Weight
     may flow back, and nothing is normalised.
     """
+    work = Work(edges.sparkSession, "rank")
     edges = edges.where(F.col("confidence") >= min_confidence)
     both = edges.select(F.col("from_id").alias("at"), F.col("to_id").alias("next"), "confidence")
     both = both.unionByName(edges.select(F.col("to_id").alias("at"), F.col("from_id").alias("next"), "confidence"))
-    frontier = seeds.groupBy("id").agg(F.sum("weight").alias("weight"))
+    frontier = work.save(seeds.groupBy("id").agg(F.sum("weight").alias("weight")), "0")
     parts = [frontier]
-    for _ in range(hops):
+    for hop in range(1, hops + 1):
         share = F.col("weight") * F.col("confidence") * damping
         step = frontier.join(both, F.col("id") == F.col("at")).select(F.col("next").alias("id"), share.alias("weight")).where(F.col("weight") >= least)
-        frontier = step.groupBy("id").agg(F.sum("weight").alias("weight"))
+        frontier = work.save(step.groupBy("id").agg(F.sum("weight").alias("weight")), str(hop))
         parts.append(frontier)
     return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("weight").alias("score"))

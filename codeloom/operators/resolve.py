@@ -27,27 +27,29 @@ def winning_names(refs: DataFrame, types: DataFrame, imports: DataFrame, wildcar
 
     Only names are compared here: how many types a name has doesn't multiply any row.
     """
-    known = name_groups(types).select("key")
+    known = _keyed(types).select("key").distinct()
     dotted = lambda prefix: F.concat(prefix, F.when(prefix == "", "").otherwise("."), F.col("simple"))
+    look = lambda tier, key: F.struct(F.lit(tier).alias("tier"), key.alias("key"))
+    nested = F.transform(enclosing_types(F.col("owner")), lambda o, depth: F.struct((2 + depth / 1000).alias("tier"), F.concat(o, F.lit("."), "simple").alias("key")))
+    plain = [look(3.0, dotted(F.col("package"))), look(5.0, F.concat(F.lit("java.lang."), "simple"))]
+    if global_fallback:
+        plain.append(look(6.0, F.concat(F.lit("*."), "simple")))
     wanted = [
+        refs.select("ref", F.explode(F.concat(nested, F.array(*plain))).alias("look")).select("ref", "look.tier", "look.key"),
         refs.join(imports, ["file", "simple"]).select("ref", F.lit(1.0).alias("tier"), F.col("qualified_name").alias("key")),
-        refs.select("ref", "simple", F.posexplode(enclosing_types(F.col("owner"))).alias("depth", "outer")).select(
-            "ref", (2 + F.col("depth") / 1000).alias("tier"), F.concat("outer", F.lit("."), "simple").alias("key")
-        ),
-        refs.select("ref", F.lit(3.0).alias("tier"), dotted(F.col("package")).alias("key")),
         refs.join(wildcards.select("file", F.col("package").alias("wild")), "file").select("ref", F.lit(4.0).alias("tier"), dotted(F.col("wild")).alias("key")),
-        refs.select("ref", F.lit(5.0).alias("tier"), F.concat(F.lit("java.lang."), "simple").alias("key")),
     ]
-    if global_fallback:
-        wanted.append(refs.select("ref", F.lit(6.0).alias("tier"), F.concat(F.lit("*."), "simple").alias("key")))
     hits = reduce(DataFrame.unionByName, wanted).join(known, "key", "left_semi")
     return first_tier(hits, target="key").withColumnRenamed("candidates", "keys")
 
 
+def _keyed(types: DataFrame) -> DataFrame:
+    return types.select(F.explode(F.array("qualified_name", F.concat(F.lit("*."), "simple_name"))).alias("key"), "id")
+
+
 def name_groups(types: DataFrame) -> DataFrame:
     """(key, candidates, n, first) of each qualified name, and of each simple name after ``*.``."""
-    keyed = types.select(F.explode(F.array("qualified_name", F.concat(F.lit("*."), "simple_name"))).alias("key"), "id")
-    return keyed.groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("candidates")).withColumns({"n": F.size("candidates"), "first": F.col("candidates")[0]})
+    return _keyed(types).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("candidates")).withColumns({"n": F.size("candidates"), "first": F.col("candidates")[0]})
 
 
 def resolve_types(refs: DataFrame, types: DataFrame, imports: DataFrame, wildcards: DataFrame, global_fallback: bool) -> DataFrame:
@@ -147,9 +149,20 @@ def import_edges(imports: DataFrame, types: DataFrame, top_level: DataFrame) ->
 def innermost_scope(points: DataFrame, scopes: DataFrame, key: str) -> DataFrame:
     """(point, scope): of the scopes of the same ``key`` that hold a point, ends included, the smallest, then the first.
 
-    ``points`` (key, point, at), ``scopes`` (key, scope, begin, end); an equi-join on the key with a range condition.
+    ``points`` (key, point, at), ``scopes`` (key, scope, begin, end), whole numbers. A scope of up to 2^k lies in two of the
+    stretches of 2^k that the numbers are cut into, at most; a point looks into one stretch of each size that occurs (64 at
+    most). So a point meets the scopes that hold it and those of their size beside it, and not all of its key, and a hot key is
+    dealt to many tasks.
     """
-    inside = points.join(scopes, key).where((F.col("at") >= F.col("begin")) & (F.col("at") <= F.col("end")))
+    size = F.greatest(F.lit(1), F.col("end") - F.col("begin"))
+    levels = F.length(F.regexp_replace(F.bin(size - 1), "^0$", ""))  # bits of size - 1: the least k with size <= 2^k
+    scopes = scopes.where(F.col("end") >= F.col("begin")).withColumn("level", levels)
+    sizes = [r.level for r in scopes.select("level").distinct().collect()]
+    stretch = lambda at, level: F.call_function("shiftright", at, level)
+    each = scopes.select(key, "scope", "begin", "end", "level", F.explode(F.sequence(stretch(F.col("begin"), F.col("level")), stretch(F.col("end"), F.col("level")))).alias("stretch"))
+    looks = F.array(*(F.lit(k) for k in sizes)) if sizes else F.array().cast("array<int>")
+    asked = points.select(key, "point", "at", F.explode(looks).alias("level")).withColumn("stretch", stretch(F.col("at"), F.col("level")))
+    inside = asked.join(each, [key, "level", "stretch"]).where((F.col("at") >= F.col("begin")) & (F.col("at") <= F.col("end")))
     best = F.min(F.struct((F.col("end") - F.col("begin")).alias("size"), "begin", "scope")).alias("best")
     return inside.groupBy("point").agg(best).select("point", F.col("best.scope").alias("scope"))
 

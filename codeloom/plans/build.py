@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.names import member_name, owner_of, param_types, return_type, short_id
+from codeloom.functions.names import member_name, node_id, owner_of, param_types, return_type, short_id
 from codeloom.operators import resolve
 from codeloom.operators.graph import ancestors
 from codeloom.operators.merge import evidence, merge_edges, merge_unresolved
 from codeloom.schema import BLIND_UNIQUE, DECLARED, STRUCTURAL, TYPE_KINDS
 from codeloom.work import Work
 
-PROVENANCE, PARSER = "tree_sitter_java", "codeloom-java-1"
+PROVENANCE, PARSER = "java_parser", "codeloom-java-1"
 #: Annotations of entry points and their kinds.
 ENTRY_POINTS = {
     "RestController": "HTTP_CONTROLLER",
@@ -41,9 +41,8 @@ def node_table(parsed: DataFrame, repo: str, commit: str = "", annotations: dict
     kind = F.get(known, F.lit(0))
     for suffix, of in (suffixes or {}).items():
         kind = F.coalesce(kind, F.when(F.col("kind").isin(TYPE_KINDS) & _has_super(suffix), of))
-    ident = F.concat_ws(":", "kind", F.lit(repo), "file", "qualified_name")
     return each.select(
-        ident.alias("id"), "kind", F.lit("java").alias("language"), F.lit(repo).alias("repo"), "file", "span_start", "span_end", "qualified_name", "simple_name", "signature",
+        node_id(F.col("kind"), F.lit(repo), F.col("file"), F.col("qualified_name")).alias("id"), "kind", F.lit("java").alias("language"), F.lit(repo).alias("repo"), "file", "span_start", "span_end", "qualified_name", "simple_name", "signature",
         F.lit(commit).alias("commit_hash"), F.unix_timestamp().alias("indexed_at"), kind.isNotNull().alias("is_entry_point"), F.coalesce(kind, F.lit("")).alias("entry_point_kind"),
     ).dropDuplicates(["id"])
 

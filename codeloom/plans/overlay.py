@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.names import descriptor_types, owner_of, param_types
+from codeloom.functions.names import descriptor_types, owner_of, param_types, short_id
 from codeloom.operators.merge import merge_typed
+from codeloom.operators.resolve import innermost_scope
+from codeloom.plans.build import PROVENANCE
 from codeloom.sources.scip import parse_symbols
+from codeloom.work import Work
+
+PARSER = "codeloom-scip-1"
 
 
 def typed_references(occ: DataFrame) -> DataFrame:
     """(document, n, caller, target, line, on_header) of references inside a definition: the smallest that holds their begin.
 
-    An equi-join by document with a range condition; references outside of any definition are left out.
+    References outside of any definition are left out.
     """
-    scopes = occ.where("is_definition").select("document", F.col("symbol").alias("caller"), "scope_begin", "scope_end")
-    headers = occ.where("is_definition").where(F.rtrim("symbol").endswith("#")).select("document", F.col("begin_line").alias("line")).distinct().withColumn("on_header", F.lit(True))
-    refs = occ.where(~F.col("is_definition") & (F.col("symbol") != "")).select("document", "n", F.col("symbol").alias("target"), F.col("begin_line").alias("line"), F.array("begin_line", "begin_col").alias("at"))
-    inside = refs.join(scopes, "document").where((F.col("at") >= F.col("scope_begin")) & (F.col("at") <= F.col("scope_end")))
-    size = F.array(*(F.col("scope_end")[k] - F.col("scope_begin")[k] for k in (0, 1)))
-    best = inside.groupBy("document", "n").agg(F.min(F.struct(size.alias("size"), "caller")).alias("best"), F.first("target").alias("target"), F.first("line").alias("line"))
-    best = best.join(headers, ["document", "line"], "left")
-    return best.select("document", "n", F.col("best.caller").alias("caller"), "target", (F.col("line") + 1).alias("line"), F.coalesce("on_header", F.lit(False)).alias("on_header"))
+    place = lambda line, col: F.shiftleft(line.cast("long"), 24) + col
+    defined = occ.where("is_definition")
+    scopes = defined.select("document", F.col("symbol").alias("scope"), place(F.col("scope_begin")[0], F.col("scope_begin")[1]).alias("begin"), place(F.col("scope_end")[0], F.col("scope_end")[1]).alias("end"))
+    headers = defined.where(F.rtrim("symbol").endswith("#")).select("document", F.col("begin_line").alias("line")).distinct().withColumn("on_header", F.lit(True))
+    refs = occ.where(~F.col("is_definition") & (F.col("symbol") != ""))
+    points = refs.select("document", F.struct("document", "n").alias("point"), place(F.col("begin_line"), F.col("begin_col")).alias("at"))
+    inside = innermost_scope(points, scopes, "document").select("point.document", "point.n", F.col("scope").alias("caller"))
+    best = inside.join(refs.select("document", "n", F.col("symbol").alias("target"), F.col("begin_line").alias("line")), ["document", "n"]).join(headers, ["document", "line"], "left")
+    return best.select("document", "n", "caller", "target", (F.col("line") + 1).alias("line"), F.coalesce("on_header", F.lit(False)).alias("on_header"))
 
 
 def map_symbols(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -65,17 +71,61 @@ def typed_pairs(refs: DataFrame, mapped: DataFrame) -> DataFrame:
     return rows.select("from_id", "to_id", kind.alias("type"), F.col("document").alias("file"), "line")
 
 
-def overlay(occ: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The merged edges, and one row of statistics: typed_refs, mapped, merged, added, unmapped_symbols."""
-    refs = typed_references(occ)
-    mapped = map_symbols(refs.select(F.col("caller").alias("symbol")).union(refs.select(F.col("target").alias("symbol"))), nodes)
-    pairs = typed_pairs(refs, mapped)
-    out = merge_typed(edges.select("from_id", "to_id", "type", "confidence", "provenance"), pairs)
-    typed = out.where(F.col("type").endswith("_TYPED"))
-    stats = (
-        refs.agg(F.count("*").alias("typed_refs"))
-        .crossJoin(pairs.agg(F.count("*").alias("mapped")))
-        .crossJoin(typed.agg(F.count_if(F.col("provenance").contains("tree_sitter_java")).alias("merged"), F.count_if(~F.col("provenance").contains("tree_sitter_java")).alias("added")))
-        .crossJoin(mapped.where("id is null").agg(F.count("*").alias("unmapped_symbols")))
-    )  # one row each
-    return out, stats
+def typed_layer(occ: DataFrame, nodes: DataFrame, work: Work) -> dict[str, DataFrame]:
+    """What compiler occurrences add: ``refs``, their ``mapped`` symbols, and ``pairs`` (from_id, to_id, type, file, line)."""
+    refs = work.save(typed_references(occ), "refs")
+    symbols = refs.select(F.col("caller").alias("symbol")).union(refs.select(F.col("target").alias("symbol"))).distinct()
+    mapped = work.save(map_symbols(symbols, nodes), "mapped")
+    return {"refs": refs, "mapped": mapped, "pairs": work.save(typed_pairs(refs, mapped), "pairs")}
+
+
+def merged_tables(edges: DataFrame, evidence: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edge and evidence tables with the typed layer merged in.
+
+    A typed edge has an id of its own; the evidence of the edge that it takes over goes with it, and the pairs' places are
+    evidence, too.
+    """
+    merged = merge_typed(edges, pairs).withColumn("id", short_id("from_id", "to_id", "type"))
+    rest = edges.select("from_id", "to_id", F.col("type").alias("base"), "observed_at", "source_hash", "ambiguous_candidates")
+    out = merged.withColumn("base", F.regexp_replace("type", "_TYPED$", "")).join(rest, ["from_id", "to_id", "base"], "left")
+    none = F.array().cast("array<string>")
+    out = out.select(
+        "id", "from_id", "to_id", "type", "provenance", "confidence", F.coalesce("observed_at", F.lit(0)).alias("observed_at"), F.coalesce("source_hash", F.lit("")).alias("source_hash"),
+        F.coalesce("ambiguous_candidates", none).alias("ambiguous_candidates"),
+    )
+    old = edges.select(F.col("id").alias("edge_id"), short_id("from_id", "to_id", F.concat("type", F.lit("_TYPED"))).alias("typed_id"))
+    typed = pairs.select(short_id("from_id", "to_id", F.concat("type", F.lit("_TYPED"))).alias("typed_id")).distinct()
+    moved = old.join(typed, "typed_id", "left_semi")
+    kept = evidence.join(moved, "edge_id", "left").withColumn("edge_id", F.coalesce("typed_id", "edge_id")).drop("typed_id")
+    new = pairs.select(short_id("from_id", "to_id", F.concat("type", F.lit("_TYPED"))).alias("edge_id"), "file", "line", F.lit(PARSER).alias("parser_version"), F.lit(0).cast("long").alias("freshness_ts"), F.lit("verified").alias("verification_status"))
+    both = kept.select(*new.columns).unionByName(new)
+    both = both.groupBy("edge_id", "file", "line").agg(F.min(F.struct((F.col("parser_version") == PARSER).alias("late"), "parser_version", "freshness_ts", "verification_status")).alias("first"))
+    both = both.select("edge_id", "file", "line", "first.parser_version", "first.freshness_ts", "first.verification_status")
+    return out, both.withColumn("id", short_id("edge_id", "file", F.col("line").cast("string"))).select(*evidence.columns)
+
+
+def statistics(found: dict[str, DataFrame], merged: DataFrame) -> dict:
+    """typed_refs, mapped, unmapped_symbols and skip_reasons of a typed layer; merged and added of all typed edges there are."""
+    typed = merged.where(F.col("type").endswith("_TYPED"))
+    sums = typed.agg(F.count_if(F.col("provenance").contains(PROVENANCE)).alias("merged"), F.count_if(~F.col("provenance").contains(PROVENANCE)).alias("added")).first()
+    return {
+        "typed_refs": found["refs"].count(), "mapped": found["pairs"].count(), "merged": sums.merged, "added": sums.added,
+        "unmapped_symbols": found["mapped"].where("id is null").count(), "skip_reasons": {r.reason: r.n for r in skip_reasons(found["refs"], found["mapped"]).collect()},
+    }
+
+
+def skip_reasons(refs: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(reason, n): how many ends of references were looked up in vain, by why. A reference whose caller isn't mapped does not
+    look its target up."""
+    by = mapped.select("symbol", "id", F.col("skip_reason").alias("reason"))
+    first = refs.join(by.withColumnsRenamed({"symbol": "caller", "id": "from_id"}), "caller")
+    second = first.where("from_id is not null").drop("reason").join(by.withColumnsRenamed({"symbol": "target", "id": "to_id"}), "target")
+    rows = first.where("from_id is null").select("reason").unionByName(second.where("to_id is null").select("reason"))
+    return rows.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def overlay(occ: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The merged edges (from_id, to_id, type, confidence, provenance), and the statistics."""
+    found = typed_layer(occ, nodes, Work(occ.sparkSession, "overlay"))
+    out = merge_typed(edges, found["pairs"])
+    return out, statistics(found, out)

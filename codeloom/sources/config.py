@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import shlex
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,19 +89,55 @@ def metrics_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(metrics_of(json.loads(read_text(spark, path) or "{}")), "key string, value double")
 
 
-def metrics_command(spark: SparkSession, command: list[str], timeout: float = 600) -> DataFrame | None:
-    """Metrics that a command prints as a JSON object on its last line; None, which is no failure, if it doesn't."""
+def run_metrics(template: str, repo: str, workdir: str, known: list[str], timeout: float = 300) -> tuple[dict | None, str]:
+    """Metrics that a command prints as a JSON object on its last line, or None and why there are none, which is no failure.
+
+    ``{repo}`` and ``{workdir}`` of the template are filled in, without a shell; keys other than ``known`` are left out.
+    """
     try:
+        command = [part.format(repo=repo, workdir=workdir) for part in shlex.split(template)]
         done = subprocess.run(command, capture_output=True, text=True, timeout=timeout, check=True)
         record = json.loads(done.stdout.strip().splitlines()[-1])
-    except (OSError, subprocess.SubprocessError, ValueError, IndexError):
-        return None
-    return spark.createDataFrame(metrics_of(record), "key string, value double") if isinstance(record, dict) else None
+    except (OSError, subprocess.SubprocessError, ValueError, IndexError, KeyError) as e:
+        return None, str(e)
+    if not isinstance(record, dict):
+        return None, "no JSON object"
+    return {k: v for k, v in record.items() if k in known}, ""
 
 
 def git_head(spark: SparkSession, root: str) -> str:
-    """The commit that is checked out, or an empty string."""
+    """The commit that is checked out, or an empty string; a branch's is in a file of its own or among the packed ones."""
     head = (read_text(spark, f"{root}/.git/HEAD") or "").strip()
     if head.startswith("ref: "):
-        head = (read_text(spark, f"{root}/.git/{head[5:]}") or "").strip()
+        name = head[5:]
+        head = (read_text(spark, f"{root}/.git/{name}") or "").strip()
+        for line in (read_text(spark, f"{root}/.git/packed-refs") or "").splitlines() if not head else ():
+            head = line.split(" ", 1)[0] if line.endswith(f" {name}") else head
     return head if re.fullmatch(r"[0-9a-f]{40,64}", head) else ""
+
+
+_BEGIN, _END = "<!-- codeloom:begin -->", "<!-- codeloom:end -->"
+AGENT_NOTES = f"""{_BEGIN}
+## Code graph
+
+This repository has a code graph. Ask it before searching by hand: `python -m codeloom explore "<name or question>"`, with
+`--task impact` for what depends on a symbol and `--task debug "a -> b"` for how one reaches another. Several candidates mean
+that the name is ambiguous: pick one and ask with its qualified name. "No callers found" is no proof of dead code.
+{_END}"""
+
+
+def add_agent_notes(path: str) -> bool:
+    """Put the notes for agents into a Markdown file, in place of those that are there or at its end; whether it changed."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            old = f.read()
+    except FileNotFoundError:
+        old = ""
+    if _BEGIN in old and _END in old:
+        new = old[: old.index(_BEGIN)] + AGENT_NOTES + old[old.index(_END) + len(_END) :]
+    else:
+        new = (old.rstrip("\n") + "\n\n" if old else "") + AGENT_NOTES + "\n"
+    if new != old:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(new)
+    return new != old

@@ -6,11 +6,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from codeloom.schema import PARSED_FILE
+from codeloom.work import file_system
 
 #: Folders that hold no sources of their own.
 SKIPPED = [".git", "target", "build", "out", "node_modules"]
@@ -18,8 +19,33 @@ SKIPPED = [".git", "target", "build", "out", "node_modules"]
 
 def discover(spark: SparkSession, root: str, pattern: str = "*.java") -> DataFrame:
     """(file, content, content_hash) of the files under ``root``, their names relative to it; build output is left out."""
+    read = _binary(spark).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return _named(spark, read.load(root.rstrip("/")), root.rstrip("/"))
+
+
+def read_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """The same of some files, named relative to the root; those that aren't there, or aren't watched, are left out."""
     root = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    found = []
+    for name in sorted(set(names)):
+        fs, p = file_system(spark, f"{root}/{name}")
+        if watched(name) and fs.exists(p):
+            found.append(f"{root}/{name}")
+    if not found:
+        return spark.createDataFrame([], "file string, content binary, content_hash string")
+    return _named(spark, _binary(spark).load(found), root)
+
+
+def watched(name: str) -> bool:
+    return name.endswith(".java") and not set(name.split("/")) & set(SKIPPED)
+
+
+def _binary(spark: SparkSession) -> DataFrameReader:
+    """A file that vanishes between listing and reading is as if it had not been there."""
+    return spark.read.format("binaryFile").option("ignoreMissingFiles", True)
+
+
+def _named(spark: SparkSession, raw: DataFrame, root: str) -> DataFrame:
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(base).toUri().getPath()
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9+.-]+:(?://[^/]*)?(?=/)", ""), r"%20", " ")
