@@ -2,55 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_root: str | None = None
+from codeloom.work import Work
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or (unset, as in tests) a temporary one."""
-    global _local_root
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="codeloom-")
-    return f"file://{_local_root}"
-
-
-class Scratch:
-    """Written tables that cut lineage and survive lost executors.
-
-    Tables that a returned DataFrame still reads stay until the driver's Python ends; ``drop`` removes the others early.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str = "") -> None:
-        try:
-            jvm = self.spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-        except Exception:  # the session may have ended; scratch is then the cluster's to clear
-            pass
+#: Written tables that cut lineage and survive lost executors.
+Scratch = Work
 
 
 def n_partitions(spark: SparkSession) -> int:

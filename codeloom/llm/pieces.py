@@ -136,6 +136,17 @@ class DoubleArray:
             s, at = t, at + 1
 
 
+#: Places after which what is settled is let go.
+SETTLED = 1 << 12
+
+
+def _places(size: int, n: int):
+    """Scores, pieces and where they begin, of so many places of a text of ``n`` bytes: compact where it is long."""
+    if n <= SETTLED:
+        return [-inf] * size, [-1] * size, [0] * size
+    return array("d", [-inf]) * size, array("i", [-1]) * size, array("i", [0]) * size
+
+
 @dataclass
 class Vocabulary:
     pieces: list[tuple[str, float, int]]
@@ -150,6 +161,7 @@ class Vocabulary:
         self.byte = {int(p[3:5], 16): k for k, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.of_byte = {k: b for b, k in self.byte.items()}
         self.trie = DoubleArray([(p.encode(), k) for p, k in own])
+        self.longest = max([4, *(len(p.encode()) for p, _ in own)])
         self.apart = not any(re.search(rf"[^{MARK}]{MARK}", p) for p, _ in own)
         line = any("\n" in p for p, _ in own)  # a character that no piece has is cut out, too
         self.cut = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+" if line or not self.byte else rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
@@ -163,45 +175,47 @@ class Vocabulary:
         """
         raw = text.encode()
         n = len(raw)
+        prefixes, scores, unknown = self.trie.prefixes, self.scores, self.unknown_score
         out: list[int] = []
         base = at = reach = 0  # scores and pieces are held from ``base`` on
-        best, piece, begin = array("d", [0.0]), array("i", [0]), array("i", [0])
-        prefixes, scores = self.trie.prefixes, self.scores
+        best, piece, begin = _places(min(n, SETTLED + self.longest) + 1, n)
+        best[0], room = 0.0, len(best) - 1 - self.longest if n > SETTLED else n  # places from which every piece fits
         while at < n:
-            if at == reach and at - base >= 1 << 12:
-                self._settle(raw, base, piece, begin, out)
-                best, piece, begin, base = array("d", [best[-1]]), array("i", [0]), array("i", [0]), at
-            width = 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
-            score, single, end = best[at - base], False, at + width
-            while len(best) <= end - base:
-                best.append(-inf)
-                piece.append(-1)
-                begin.append(0)
-            reach = max(reach, end)
-            for end, k in prefixes(raw, at) if score > -inf else ():
-                single |= end == at + width
-                s = score + scores[k]
-                to = end - base
-                while len(best) <= to:
-                    best.append(-inf)
-                    piece.append(-1)
-                    begin.append(0)
-                if s > best[to]:
-                    best[to], piece[to], begin[to] = s, k, at - base
-                if end > reach:
-                    reach = end
-            if score > -inf and not single:
-                to, s = at + width - base, score + self.unknown_score
-                if s > best[to]:
-                    best[to], piece[to], begin[to] = s, -1, at - base
-            at += width
-        self._settle(raw, base, piece, begin, out)
+            here = at - base
+            if here >= SETTLED and at == reach:
+                self._settle(raw, base, here, piece, begin, out)
+                score, base, here = best[here], at, 0
+                best, piece, begin = _places(SETTLED + self.longest + 1, n)
+                best[0] = score
+            elif here > room:
+                more = _places(len(best), n)
+                best, piece, begin = best + more[0], piece + more[1], begin + more[2]
+                room = len(best) - 1 - self.longest
+            b = raw[at]
+            end = at + (1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4)
+            score, single = best[here], False
+            if end > reach:
+                reach = end
+            if score > -inf:
+                for to, k in prefixes(raw, at):
+                    single |= to == end
+                    s = score + scores[k]
+                    place = to - base
+                    if s > best[place]:
+                        best[place], piece[place], begin[place] = s, k, here
+                    if to > reach:
+                        reach = to
+                if not single:
+                    s, place = score + unknown, end - base
+                    if s > best[place]:
+                        best[place], piece[place], begin[place] = s, -1, here
+            at = end
+        self._settle(raw, base, n - base, piece, begin, out)
         return out
 
-    def _settle(self, raw: bytes, base: int, piece: array, begin: array, out: list[int]) -> None:
-        """Add the ids of the best sequence that ends where ``piece`` does."""
+    def _settle(self, raw: bytes, base: int, at: int, piece, begin, out: list[int]) -> None:
+        """Add the ids of the best sequence from ``base`` to ``at`` places on."""
         held: list[int] = []
-        at = len(piece) - 1
         while at:
             k = piece[at]
             if k >= 0:

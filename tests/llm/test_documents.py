@@ -5,13 +5,15 @@ import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from codeloom.llm import line_dedup, near_dedup, quality, simhash
+from codeloom.llm import line_dedup, near_dedup, quality, secrets, simhash
 from codeloom.llm.common import Scratch, connected_components, union_labels
 
 # Quality
@@ -336,19 +338,64 @@ def test_near_dedup_on_odd_tables(odd_docs, no_docs):
 
 
 def test_pipeline(spark, sf):
+    """Each stage, on what its predecessor kept, against a plain version of it."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    scratch, counts, columns = Scratch(spark, "t"), [docs.count()], docs.columns
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = scratch.save(stage(spark, docs, sf), str(k))
-        counts.append(docs.count())
-        assert docs.columns == columns or k == len(corpus_pipeline.STAGES) - 1
-    assert counts[0] > counts[1] == counts[2] > counts[3] == counts[4]
-    assert corpus_pipeline.run(spark, sf).count() == counts[-1]
+    scratch, columns = Scratch(spark, "t"), docs.columns
+    rows = lambda df: {r.doc_id: r.asDict() for r in df.collect()}
+    stages, before = dict(corpus_pipeline.STAGES), rows(docs)
+    assert list(stages) == ["quality classifier", "line dedup", "simhash near-dedup", "secret scans", "packing"]
+
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    docs = scratch.save(stages["quality classifier"](spark, docs, sf), "0")
+    after = rows(docs)
+    assert after == {i: r for i, r in before.items() if _plain_score(model, r["text"] or "") >= 0.3} and 0 < len(after) < len(before)
+
+    con, docs = duckdb.connect(), scratch.save(stages["line dedup"](spark, docs, sf), "1")
+    documents = pa.Table.from_pylist(list(after.values()))  # noqa: F841
+    want = {i: t for i, t, *_ in con.sql(line_dedup.OP7_SQL).fetchall()}
+    before, after = after, rows(docs)
+    assert {i: r["text"] for i, r in after.items()} == want and all(r["n_chars"] == len(r["text"]) for r in after.values())
+    assert all({**r, "text": 0, "n_chars": 0} == {**before[i], "text": 0, "n_chars": 0} for i, r in after.items()) and any(after[i]["text"] != r["text"] for i, r in before.items())
+
+    docs = scratch.save(stages["simhash near-dedup"](spark, docs, sf), "2")
+    ids = sorted(after)
+    label = _jaccard_components([after[i]["text"] for i in ids])
+    before, after = after, rows(docs)
+    assert after == {ids[k]: before[ids[k]] for k in set(label.tolist())} and len(after) < len(before)
+
+    docs = scratch.save(stages["secret scans"](spark, docs, sf), "3")
+    before, after = after, rows(docs)
+    scanner = secrets.Scanner()
+    for i, r in before.items():
+        text = secrets.redact_text(r["text"], scanner.spans(r["text"]))
+        assert after[i] == {**r, "text": text, "n_chars": len(text) if text != r["text"] else r["n_chars"]}
+    assert before != after and docs.columns == columns
+
+    packed = stages["packing"](spark, docs, sf).collect()
+    plain, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}
+    for i, r in after.items():
+        want[i] = np.array([*plain.encode(r["text"], add_special_tokens=False).ids, 0], dtype="<u4").tobytes()
+    seen = dict.fromkeys(want, 0)
+    for r in sorted(packed, key=lambda r: (r.doc_id, r.start)):
+        own = want[r.doc_id]
+        assert (r.start, 4 * r.doc_tokens, r.ids_crc32) == (seen[r.doc_id], len(own), zlib.crc32(own[4 * r.start : 4 * (r.start + r.length)]))
+        seen[r.doc_id] += r.length
+    assert all(4 * n == len(want[i]) for i, n in seen.items())
+    assert corpus_pipeline.run(spark, sf).count() == len(packed)
 
 
 def test_stages_on_odd_tables(spark, sf, odd_docs, no_docs):
+    """Nulls, repeated rows and clashing names through all stages: which rows each keeps, and that others' columns stay."""
     for start in (odd_docs, no_docs):
         docs, scratch = start, Scratch(spark, "t")
+        ids, others = [], []
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             docs = scratch.save(stage(spark, docs, sf), str(k))
-        assert docs.columns[0] == "doc_id" and (docs.count() > 0) == (start is odd_docs)
+            ids.append(sorted(str(r.doc_id) for r in docs.select("doc_id").collect()))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert docs.dtypes == start.dtypes
+                others.append({tuple(r) for r in docs.drop("text", "n_chars", "doc_id").collect()})
+        assert docs.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        every = sorted(str(r.doc_id) for r in start.collect())
+        assert set(ids[0]) <= set(every) and ids[1] == ids[0] and set(ids[2]) <= set(ids[1]) and ids[3] == ids[2] and set(ids[4]) == set(ids[3])
+        assert all(o <= {tuple(r) for r in start.drop("text", "n_chars", "doc_id").collect()} for o in others) and bool(ids[4]) == (start is odd_docs)
