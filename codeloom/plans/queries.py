@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,22 +12,21 @@ from pyspark.sql.window import Window
 from codeloom.functions import names as N
 from codeloom.functions.scores import argument_score, in_scope, token_estimate
 from codeloom.operators import graph, merge, metrics, rank, resolve, search, store
-from codeloom.sources.tables import GRAPH_SQL, edges, nodes, part_names, raw_calls, structure, table
+from codeloom.plans import java_queries  # noqa: F401  registers its queries
+from codeloom.plans.build import PROVENANCE
+from codeloom.plans.engine import debug_tables, named_members
+from codeloom.plans.registry import ORACLE_SQL, QUERIES, query
+from codeloom.sources.tables import edges, nodes, part_names, raw_calls, structure, table
+from codeloom.streaming.watch import sessions
+from codeloom.work import Work
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
-def query(sql: str | None = None, graph_view: bool = True):
-    """Register a query under its function's name, with its SQL; ``graph_view`` puts the graph's views before that."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {GRAPH_SQL}\n{sql}" if graph_view else sql
-        return f
-
-    return add
+def _stored(spark: SparkSession, **tables: DataFrame) -> list[DataFrame]:
+    """Tables that a query reads several times, written once, as an index would have them."""
+    work = Work(spark, "query")
+    return [work.save(df, name) for name, df in tables.items()]
 
 
 def r6(c):
@@ -81,6 +81,35 @@ def latency_percentiles(spark, sf):
     return metrics.percentiles(table(spark, sf, "events"), "event_type", "value").select("event_type", r6("p50").alias("p50"), r6("p95").alias("p95"))
 
 
+# Lookups
+
+
+@query("SELECT id, kind, simple_name, file FROM node WHERE id = 'nation:3'")
+def point_lookup(spark, sf):
+    return nodes(spark, sf).where(F.col("id") == "nation:3").select("id", "kind", "simple_name", "file")
+
+
+@query("SELECT e.from_id, e.to_id, e.type, e.confidence FROM edge e WHERE e.from_id = 'nation:3' AND e.to_id = (SELECT 'region:' || n_regionkey FROM nation WHERE n_nationkey = 3)")
+def edge_between(spark, sf):
+    to = table(spark, sf, "nation").where("n_nationkey = 3").select(F.concat(F.lit("region:"), "n_regionkey").alias("to_id"))
+    return edges(spark, sf).where("from_id = 'nation:3'").join(to, "to_id", "left_semi").select("from_id", "to_id", "type", "confidence")
+
+
+@query("""
+, e AS (SELECT min(substr(sha256(from_id || '|' || to_id || '|' || type), 1, 16)) AS id FROM raw_call)
+SELECT DISTINCT file, line FROM raw_call JOIN e ON substr(sha256(from_id || '|' || to_id || '|' || type), 1, 16) = e.id
+""")
+def evidence_for_edge(spark, sf):
+    proof = Work(spark, "query").save(merge.evidence(raw_calls(spark, sf)), "evidence")
+    one = proof.agg(F.min("edge_id").alias("edge_id"))
+    return proof.join(F.broadcast(one), "edge_id", "left_semi").select("file", "line")
+
+
+@query("SELECT id, row_number() OVER (ORDER BY id)::INTEGER AS place FROM node WHERE kind = 'class' AND simple_name LIKE 'NATION%'")
+def entry_point_list(spark, sf):
+    return rank.numbered(nodes(spark, sf).where("kind = 'class' and simple_name like 'NATION%'").select("id"), "place", "id")
+
+
 # Joins over the graph
 
 
@@ -115,7 +144,7 @@ _RADIUS = """
   WHERE (d.seed, e.from_id) NOT IN (SELECT (seed, id) FROM d1 UNION ALL SELECT (seed, id) FROM d2) GROUP BY ALL)
 , reached AS (SELECT *, 1 AS depth FROM d1 UNION ALL SELECT *, 2 FROM d2 UNION ALL SELECT *, 3 FROM d3)
 , risky AS (SELECT *, CASE WHEN depth <= 1 AND confidence >= 0.8 THEN 'will_break' WHEN depth <= 2 AND confidence >= 0.5 THEN 'likely_affected'
-  ELSE 'possibly_affected' END AS risk FROM reached)
+  ELSE 'possible' END AS risk FROM reached)
 """
 
 
@@ -125,35 +154,68 @@ def _regions(spark, sf):
 
 @query(_RADIUS + "SELECT seed, id, depth, confidence, risk FROM risky")
 def blast_radius(spark, sf):
-    return graph.blast_radius(edges(spark, sf), _regions(spark, sf), 3).select("seed", "id", "depth", "confidence", "risk")
+    (e,) = _stored(spark, edges=edges(spark, sf))
+    return graph.blast_radius(e, _regions(spark, sf), 3).select("seed", "id", "depth", "confidence", "risk")
 
 
 @query(_RADIUS + "SELECT seed, risk, count(*) AS n FROM risky GROUP BY seed, risk")
 def blast_summary(spark, sf):
-    return graph.blast_summary(graph.blast_radius(edges(spark, sf), _regions(spark, sf), 3))
+    (e,) = _stored(spark, edges=edges(spark, sf))
+    return graph.blast_summary(graph.blast_radius(e, _regions(spark, sf), 3))
+
+
+# From each order to a nation: over its customer if that is there, else over one of its parts and that part's supplier.
+_PAIRS = "SELECT 'orders:' || o_orderkey AS start, 'nation:' || (o_orderkey % 25) AS target FROM orders"
+_PATHS = f"""
+, pair AS ({_PAIRS})
+, near AS (SELECT p.start, p.target, a.to_id AS first, a.type AS first_type, a.confidence AS first_confidence FROM pair p JOIN edge a ON a.from_id = p.start AND a.type = 'IMPORTS'
+  JOIN edge b ON b.from_id = a.to_id AND b.to_id = p.target)
+, part_of AS (SELECT p.start, a.to_id AS part, a.confidence FROM pair p JOIN edge a ON a.from_id = p.start AND a.type = 'CALLS')
+, supplier_of AS (SELECT start, b.to_id AS supplier, min(part) AS part FROM part_of JOIN edge b ON b.from_id = part AND b.type = 'REFERENCES' GROUP BY start, b.to_id)
+, far AS (SELECT p.start, p.target, min(s.supplier) AS supplier FROM pair p JOIN supplier_of s ON s.start = p.start JOIN edge c ON c.from_id = s.supplier AND c.to_id = p.target
+  WHERE p.start NOT IN (SELECT start FROM near) GROUP BY p.start, p.target)
+, far_path AS (SELECT f.start, f.target, s.part, f.supplier, x.confidence FROM far f JOIN supplier_of s ON s.start = f.start AND s.supplier = f.supplier JOIN part_of x ON x.start = f.start AND x.part = s.part)
+"""
 
 
-@query("""
-SELECT 'orders:' || o_orderkey AS from_id, 'region:' || n_regionkey AS to_id, 3 AS hops,
-  'orders:' || o_orderkey || '>customer:' || o_custkey || '>nation:' || c_nationkey || '>region:' || n_regionkey AS path
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+def _order_pairs(spark, sf):
+    return table(spark, sf, "orders").select(F.concat(F.lit("orders:"), "o_orderkey").alias("from_id"), F.concat(F.lit("nation:"), F.col("o_orderkey") % 25).alias("to_id"))
+
+
+@query(_PATHS + """
+SELECT start AS from_id, target AS to_id, 2 AS hops, start || '>' || first || '>' || target AS path FROM near
+UNION ALL SELECT start, target, 3, start || '>' || part || '>' || supplier || '>' || target FROM far_path
 """)
 def shortest_path(spark, sf):
-    o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
-    pairs = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    pairs = pairs.select(F.concat(F.lit("orders:"), "o_orderkey").alias("from_id"), F.concat(F.lit("region:"), "n_regionkey").alias("to_id"))
-    return graph.shortest_paths(structure(spark, sf), pairs, 4)
+    (e,) = _stored(spark, edges=edges(spark, sf))
+    return graph.shortest_paths(e, _order_pairs(spark, sf), 4)
+
+
+@query(_PATHS + """
+, one AS (SELECT * FROM far_path WHERE start = 'orders:3' OR start = 'orders:5' OR start = 'orders:11'), two AS (SELECT * FROM near WHERE start = 'orders:3' OR start = 'orders:5' OR start = 'orders:11')
+SELECT start AS from_id, 0 AS step, start AS id, 'seed' AS type, 1.0::DOUBLE AS confidence FROM (SELECT start FROM one UNION ALL SELECT start FROM two)
+UNION ALL SELECT start, 1, part, 'CALLS', confidence FROM one UNION ALL SELECT start, 2, supplier, 'REFERENCES', 0.7 FROM one UNION ALL SELECT start, 3, target, 'EXTENDS', 1.0 FROM one
+UNION ALL SELECT start, 1, first, first_type, first_confidence FROM two UNION ALL SELECT start, 2, target, 'EXTENDS', 1.0 FROM two
+""")
+def call_path_steps(spark, sf):
+    (e,) = _stored(spark, edges=edges(spark, sf))
+    pairs = _order_pairs(spark, sf).where("from_id in ('orders:3', 'orders:5', 'orders:11')")
+    return graph.path_steps(e, pairs, 4).select("from_id", "step", "id", "type", "confidence")
 
 
+# Types of the tables, and chains of 26 parts.
 @query("""
-, up AS (SELECT from_id AS sub, to_id AS sup FROM edge WHERE type IN ('EXTENDS', 'IMPLEMENTS'))
+, up AS (SELECT from_id AS sub, to_id AS sup FROM edge WHERE type IN ('EXTENDS', 'IMPLEMENTS')
+  UNION ALL SELECT 'part:' || p_partkey, 'part:' || (p_partkey - 1) FROM part WHERE p_partkey % 26 > 0)
 , walk AS (SELECT sub AS type, sub AS ancestor, 0 AS dist FROM up UNION SELECT sup, sup, 0 FROM up
-  UNION SELECT w.type, up.sup, w.dist + 1 FROM walk w JOIN up ON w.ancestor = up.sub WHERE w.dist < 16)
+  UNION SELECT w.type, up.sup, w.dist + 1 FROM walk w JOIN up ON w.ancestor = up.sub)
 SELECT type, ancestor, min(dist) AS dist FROM walk GROUP BY type, ancestor
 """)
 def supertype_closure(spark, sf):
-    e = structure(spark, sf).where(F.col("type").isin("EXTENDS", "IMPLEMENTS"))
-    return graph.ancestors(e.select(F.col("from_id").alias("sub"), F.col("to_id").alias("sup")))
+    e = structure(spark, sf).where(F.col("type").isin("EXTENDS", "IMPLEMENTS")).select(F.col("from_id").alias("sub"), F.col("to_id").alias("sup"))
+    of = lambda key: F.concat(F.lit("part:"), key)
+    chain = table(spark, sf, "part").where("p_partkey % 26 > 0").select(of(F.col("p_partkey")).alias("sub"), of(F.col("p_partkey") - 1).alias("sup"))
+    return graph.ancestors(e.unionByName(chain))
 
 
 @query("""
@@ -165,7 +227,8 @@ SELECT id, round(sum(w), 6) AS score FROM (SELECT * FROM s0 UNION ALL SELECT * F
 """)
 def personalized_pagerank(spark, sf):
     seeds = _regions(spark, sf).select(F.col("seed").alias("id"), F.lit(1.0).alias("weight"))
-    return graph.personalised_pagerank(edges(spark, sf), seeds, 2).select("id", r6("score").alias("score"))
+    (e,) = _stored(spark, edges=edges(spark, sf))
+    return graph.personalised_pagerank(e, seeds, 2).select("id", r6("score").alias("score"))
 
 
 @query("""
@@ -185,14 +248,17 @@ def candidate_callers(spark, sf):
 
 
 @query("""
-SELECT n.id, n.kind, (SELECT count(*) FROM edge e WHERE e.from_id = n.id) AS outgoing, (SELECT count(*) FROM edge e WHERE e.to_id = n.id) AS incoming FROM node n
+, me AS (SELECT id FROM node WHERE simple_name = 'order3')
+, named AS (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1)
+SELECT m.id AS node, 'outgoing' AS direction, e.to_id AS other, e.type, e.confidence FROM me m JOIN edge e ON e.from_id = m.id
+UNION ALL SELECT m.id, 'incoming', e.from_id, e.type, e.confidence FROM me m JOIN edge e ON e.to_id = m.id
+UNION ALL SELECT DISTINCT m.id, 'ambiguous', p_name, 'CALLS', NULL FROM me m JOIN lineitem ON m.id = 'orders:' || l_orderkey JOIN part ON l_partkey = p_partkey WHERE p_name IN (SELECT p_name FROM named)
 """)
 def debug_graph(spark, sf):
-    e = edges(spark, sf)
-    out = e.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("outgoing"))
-    inc = e.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("incoming"))
-    n = nodes(spark, sf).select("id", "kind").join(out, "id", "left").join(inc, "id", "left")
-    return n.select("id", "kind", F.coalesce("outgoing", F.lit(0)).alias("outgoing"), F.coalesce("incoming", F.lit(0)).alias("incoming"))
+    n, e, u = _stored(spark, nodes=nodes(spark, sf), edges=edges(spark, sf).withColumn("provenance", F.lit(PROVENANCE)), still=merge.merge_unresolved(_named_calls(spark, sf)))
+    _, ends, still = debug_tables({"node": n, "edge": e, "unresolved_reference": u}, "order3")
+    still = still.select("node", F.lit("ambiguous").alias("direction"), F.col("target_name").alias("other"), "type", F.lit(None).cast("double").alias("confidence"))
+    return ends.drop("provenance").unionByName(still)
 
 
 # Merging
@@ -200,42 +266,46 @@ def debug_graph(spark, sf):
 
 @query("""
 SELECT substr(sha256(from_id || '|' || to_id || '|' || type), 1, 16) AS id, from_id, to_id, type, max(confidence) AS confidence,
-  arg_min(file, (-confidence, file, line)) AS file, arg_min(line, (-confidence, file, line)) AS line, count(DISTINCT (file, line)) AS sites FROM raw_call GROUP BY ALL
-""".replace("GROUP BY ALL", "GROUP BY from_id, to_id, type"))
+  arg_min(file, (-confidence, file, line)) AS file, arg_min(line, (-confidence, file, line)) AS line, count(DISTINCT (file, line)) AS sites,
+  array_to_string(list_sort(list_distinct(flatten(list(candidates)))), ' ') AS candidates FROM raw_call GROUP BY from_id, to_id, type
+""")
 def edge_merge(spark, sf):
-    return merge.merge_edges(raw_calls(spark, sf)).drop("ambiguous_candidates")
+    out = merge.merge_edges(raw_calls(spark, sf))
+    return out.withColumn("candidates", F.array_join("ambiguous_candidates", " ")).drop("ambiguous_candidates")
 
 
 @query("""
-, e AS (SELECT DISTINCT substr(sha256(from_id || '|' || to_id || '|' || type), 1, 16) AS edge_id, file, line FROM raw_call)
-SELECT substr(sha256(edge_id || '|' || file || '|' || line), 1, 16) AS id, edge_id, file, line, 'verified' AS verification_status FROM e
+, e AS (SELECT substr(sha256(from_id || '|' || to_id || '|' || type), 1, 16) AS edge_id, file, line, bool_or(len(candidates) > 0) AS open FROM raw_call GROUP BY from_id, to_id, type, file, line)
+SELECT substr(sha256(edge_id || '|' || file || '|' || line), 1, 16) AS id, edge_id, file, line, CASE WHEN open THEN 'ambiguous' ELSE 'verified' END AS verification_status FROM e
 """)
 def evidence_dedup(spark, sf):
     return merge.evidence(raw_calls(spark, sf))
 
 
 def _named_calls(spark, sf):
-    """Order lines as references to a part by its name alone; the candidates are those of the name."""
-    line, part = table(spark, sf, "lineitem"), table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"))
+    """Order lines as references to a part by its name alone; candidates are the part itself and one of the same brand's name."""
+    line, part = table(spark, sf, "lineitem"), table(spark, sf, "part").select("p_partkey", "p_brand", F.col("p_name").alias("name"))
     several = part.groupBy("name").count().where("count > 1").select("name")
     rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(several, "name", "left_semi")
     return rows.select(
-        F.concat(F.lit("orders:"), "l_orderkey").alias("from_id"), F.lit("CALLS").alias("type"), F.col("name").alias("target_name"), F.array("name").alias("candidates"),
-        F.lit("ambiguous_global_fallback").alias("reason"), F.concat(F.lit("ship/"), F.date_format("l_shipdate", "yyyy-MM")).alias("file"), F.col("l_linenumber").alias("line"),
+        F.concat(F.lit("orders:"), "l_orderkey").alias("from_id"), F.lit("CALLS").alias("type"), F.col("name").alias("target_name"),
+        F.array(F.concat(F.lit("part:"), "l_partkey"), F.concat(F.lit("brand:"), "p_brand")).alias("candidates"), F.concat(F.lit("ambiguous_"), "l_returnflag").alias("reason"),
+        F.concat(F.lit("ship/"), F.date_format("l_shipdate", "yyyy-MM")).alias("file"), F.col("l_linenumber").alias("line"),
     )
 
 
-@query("""
-, named AS (SELECT p_name, count(*) AS n, min('part:' || p_partkey) AS first FROM part GROUP BY p_name HAVING count(*) > 1)
-, raw AS (SELECT 'orders:' || l_orderkey AS from_id, p.p_name AS target_name, 'ship/' || strftime(l_shipdate, '%Y-%m') AS file, l_linenumber AS line
-  FROM lineitem JOIN part p ON l_partkey = p_partkey)
-SELECT substr(sha256(from_id || '|CALLS|' || target_name), 1, 16) AS id, from_id, 'CALLS' AS type, target_name, any_value(named.n)::INTEGER AS n_candidates, any_value(named.first) AS first_candidate,
-  'ambiguous_global_fallback' AS reason, min(file) AS file, arg_min(line, (file, line)) AS line, count(DISTINCT (file, line))::INTEGER AS site_count
-FROM raw JOIN named ON target_name = p_name GROUP BY from_id, target_name
-""")
+_UNRESOLVED = """
+, named AS (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1)
+, raw AS (SELECT 'orders:' || l_orderkey AS from_id, p.p_name AS target_name, 'ship/' || strftime(l_shipdate, '%Y-%m') AS file, l_linenumber AS line, 'ambiguous_' || l_returnflag AS reason,
+  ['part:' || l_partkey, 'brand:' || p_brand] AS candidates FROM lineitem JOIN part p ON l_partkey = p_partkey WHERE p.p_name IN (SELECT p_name FROM named))
+, unresolved AS (SELECT substr(sha256(from_id || '|CALLS|' || target_name), 1, 16) AS id, from_id, 'CALLS' AS type, target_name, list_sort(list_distinct(flatten(list(candidates)))) AS candidates,
+  arg_max(reason, (file, line, reason)) AS reason, min(file) AS file, arg_min(line, (file, line)) AS line, count(DISTINCT (file, line))::INTEGER AS site_count FROM raw GROUP BY from_id, target_name)
+"""
+
+
+@query(_UNRESOLVED + "SELECT * REPLACE (array_to_string(candidates, ' ') AS candidates) FROM unresolved")
 def unresolved_merge(spark, sf):
-    names = part_names(spark, sf).select(F.col("name").alias("target_name"), F.size("ids").alias("n_candidates"), F.array_min("ids").alias("first_candidate"))
-    return merge.merge_unresolved(_named_calls(spark, sf)).drop("candidates").join(names, "target_name")
+    return merge.merge_unresolved(_named_calls(spark, sf)).withColumn("candidates", F.array_join("candidates", " "))
 
 
 @query("""
@@ -244,12 +314,12 @@ def unresolved_merge(spark, sf):
 SELECT coalesce(b.from_id, t.from_id) AS from_id, coalesce(b.to_id, t.to_id) AS to_id,
   coalesce(b.type, t.type) || CASE WHEN t.type IS NULL THEN '' ELSE '_TYPED' END AS type,
   CASE WHEN t.type IS NULL THEN b.confidence ELSE greatest(0.95, coalesce(b.confidence, 0.95)) END AS confidence,
-  CASE WHEN b.type IS NULL THEN 'scip_java' WHEN t.type IS NULL THEN 'tree_sitter_java' ELSE 'scip_java+tree_sitter_java' END AS provenance
+  CASE WHEN b.type IS NULL THEN 'scip_java' WHEN t.type IS NULL THEN 'java_parser' ELSE 'java_parser+scip_java' END AS provenance
 FROM base b FULL OUTER JOIN typed t ON b.from_id = t.from_id AND b.to_id = t.to_id AND b.type = t.type
 """)
 def overlay_merge(spark, sf):
     e = edges(spark, sf).select("from_id", "to_id", "type", "confidence")
-    base = e.where("type <> 'IMPORTS'").withColumn("provenance", F.lit("tree_sitter_java"))
+    base = e.where("type <> 'IMPORTS'").withColumn("provenance", F.lit(PROVENANCE))
     return merge.merge_typed(base, e.where("type = 'IMPORTS' or confidence >= 0.9"))
 
 
@@ -262,8 +332,13 @@ def overlay_merge(spark, sf):
 , package AS (SELECT l_orderkey AS o, arg_min(p_brand, l_partkey) AS package FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)
 , import AS (SELECT l_orderkey AS o, p_name AS simple, max(p_brand) AS package FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' GROUP BY ALL)
 , wild AS (SELECT DISTINCT l_orderkey AS o, p_brand AS package FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F')
+, inside AS (SELECT l_orderkey AS o, min(p_name) AS simple FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 97 = 0 GROUP BY l_orderkey)
 , hit AS (
   SELECT r.o, r.simple, 1.0 AS tier, t.id FROM ref r JOIN import i ON r.o = i.o AND r.simple = i.simple JOIN type t ON t.package = i.package AND t.simple = r.simple
+  UNION SELECT r.o, r.simple, 2.0, 'inner:' || r.o FROM ref r JOIN inside i ON i.o = r.o AND i.simple = r.simple
+  UNION SELECT r.o, r.simple, 5.0, 'lang:' || r.simple FROM ref r WHERE length(r.simple) % 3 = 0
+  UNION SELECT r.o, r.simple, 6.0, 'lang:' || r.simple FROM ref r WHERE length(r.simple) % 3 = 0
+  UNION SELECT r.o, r.simple, 6.0, 'inner:' || i.o FROM ref r JOIN inside i ON i.simple = r.simple
   UNION SELECT r.o, r.simple, 3.0, t.id FROM ref r JOIN package p ON r.o = p.o JOIN type t ON t.package = p.package AND t.simple = r.simple
   UNION SELECT r.o, r.simple, 4.0, t.id FROM ref r JOIN wild w ON r.o = w.o JOIN type t ON t.package = w.package AND t.simple = r.simple
   UNION SELECT r.o, r.simple, 6.0, t.id FROM ref r JOIN type t ON t.simple = r.simple)
@@ -275,11 +350,16 @@ def type_resolution_tiers(spark, sf):
     line, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
     rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").cast("string").alias("file"), "l_partkey", "l_returnflag", "l_linestatus", "p_brand", F.col("p_name").alias("simple"))
     types = part.select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.concat_ws(".", "p_brand", "p_name").alias("qualified_name"), F.col("p_name").alias("simple_name"))
+    inside = rows.where("file % 97 = 0").groupBy("file").agg(F.min("simple").alias("simple_name"))  # types nested in an order's own
+    inside = inside.select(F.concat(F.lit("inner:"), "file").alias("id"), F.concat_ws(".", F.lit("order"), "file", "simple_name").alias("qualified_name"), "simple_name")
+    lang = part.where("length(p_name) % 3 = 0").select(F.concat(F.lit("lang:"), "p_name").alias("id"), F.concat(F.lit("java.lang."), "p_name").alias("qualified_name"), F.col("p_name").alias("simple_name")).distinct()
+    types = types.unionByName(inside).unionByName(lang)
     package = rows.groupBy("file").agg(F.min_by("p_brand", "l_partkey").alias("package"))
     refs = rows.select("file", "simple").distinct().join(package, "file")
     refs = refs.select(F.concat_ws("/", "file", "simple").alias("ref"), "file", "package", F.concat_ws(".", F.lit("order"), "file").alias("owner"), "simple")
     imports = rows.where("l_returnflag = 'R'").groupBy("file", "simple").agg(F.max("p_brand").alias("b")).select("file", "simple", F.concat_ws(".", "b", "simple").alias("qualified_name"))
     wild = rows.where("l_linestatus = 'F'").select("file", F.col("p_brand").alias("package")).distinct()
+    refs, types, imports, wild = _stored(spark, refs=refs, types=types, imports=imports, wild=wild)
     won = resolve.winning_names(refs, types, imports, wild, True).select("ref", "tier", F.explode("keys").alias("key"))
     groups = resolve.name_groups(types).select("key", "n", "first")  # names of one tier share no type
     return won.join(groups, "key").groupBy("ref", "tier").agg(F.sum("n").cast("int").alias("n"), F.min("first").alias("first"))
@@ -330,11 +410,13 @@ def name_fallback_ambiguous(spark, sf):
 
 
 _HINT = "CASE {} % 6 WHEN 0 THEN 'int' WHEN 1 THEN 'long' WHEN 2 THEN 'String' WHEN 3 THEN 'null' WHEN 4 THEN 'Integer' ELSE 'unknown' END"
-_PARAM = "CASE {} % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'long' WHEN 2 THEN 'String' WHEN 3 THEN 'Object' ELSE 'Integer' END"
+_PARAM = "CASE {} % 6 WHEN 0 THEN 'int' WHEN 1 THEN 'long' WHEN 2 THEN 'String' WHEN 3 THEN 'Object' WHEN 4 THEN 'Number' ELSE 'Integer' END"
+#: Supertypes by simple names, boxes among them.
+_SUBTYPES = [("Integer", "Number"), ("Long", "Number"), ("Number", "Serializable")]
 _SCORE = """CASE WHEN {h} = 'unknown' THEN 0 WHEN {h} = {p} THEN 3 WHEN {h} = 'null' THEN CASE WHEN {p} IN ('int', 'long') THEN NULL ELSE 0 END
-  WHEN {h} = 'int' THEN CASE {p} WHEN 'long' THEN 2 WHEN 'Integer' THEN 2 WHEN 'Object' THEN 1 END
-  WHEN {h} = 'long' THEN CASE {p} WHEN 'Object' THEN 1 END
-  WHEN {p} = 'int' THEN CASE WHEN {h} = 'Integer' THEN 2 END WHEN {p} = 'long' THEN NULL WHEN {p} = 'Object' THEN 1 ELSE 0 END"""
+  WHEN {h} = 'int' THEN CASE {p} WHEN 'long' THEN 2 WHEN 'Integer' THEN 2 WHEN 'Object' THEN 1 WHEN 'Number' THEN 1 END
+  WHEN {h} = 'long' THEN CASE {p} WHEN 'Object' THEN 1 WHEN 'Number' THEN 1 END
+  WHEN {p} = 'int' THEN CASE WHEN {h} = 'Integer' THEN 2 END WHEN {p} = 'long' THEN NULL WHEN {p} = 'Object' THEN 1 WHEN {h} = 'Integer' AND {p} = 'Number' THEN 1 ELSE 0 END"""
 
 
 @query(
@@ -366,8 +448,7 @@ def overload_scoring(spark, sf):
         F.array(F.expr(_HINT.format("o_orderkey")), F.expr(_HINT.format("o_custkey"))).alias("hints"),
         F.array(F.expr(_PARAM.format("p_partkey")), F.expr(_PARAM.format("p_size"))).alias("params"),
     )
-    none = spark.createDataFrame([], "sub string, sup string")
-    out = resolve.narrow_overloads(rows, none)
+    out = resolve.narrow_overloads(rows, spark.createDataFrame(_SUBTYPES, "sub string, sup string"))
     return out.select("ref", F.size("candidates").alias("n"), F.array_min("candidates").alias("first"), F.array_max("scores").alias("best"))
 
 
@@ -376,7 +457,7 @@ def overload_scoring(spark, sf):
 )
 def argument_scores(spark, sf):
     p = table(spark, sf, "part").select(F.expr(_HINT.format("p_partkey")).alias("h"), F.expr(_PARAM.format("p_size")).alias("p")).distinct()
-    return p.select("h", "p", argument_score(F.col("h"), F.col("p"), F.lit(False)).alias("score"))
+    return p.select("h", "p", argument_score(F.col("h"), F.col("p"), F.col("h").isin("int", "long", "Integer") & (F.col("p") == "Number")).alias("score"))
 
 
 @query(
@@ -459,6 +540,12 @@ def term_statistics(spark, sf):
     return p.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
+@query("WITH x AS (SELECT 1)" + _BM25.format(key="doc_id", text="text", table="documents") + "SELECT id, round(bm25, 6) AS bm25 FROM bm", False)
+def postings_search(spark, sf):
+    stored, totals = search.index(table(spark, sf, "documents"), F.col("text"), "doc_id")
+    return search.bm25_of_postings(*_stored(spark, posting=stored, totals=totals), QUERY).select("id", r6("bm25").alias("bm25"))
+
+
 @query("SELECT id, 1.0::DOUBLE AS bm25 FROM node WHERE simple_name = 'NATION_3' OR file || '#' || simple_name = 'NATION_3'")
 def exact_hits(spark, sf):
     return search.exact_hits(nodes(spark, sf), "NATION_3")
@@ -481,7 +568,8 @@ def exact_hits(spark, sf):
 SELECT id, round(0.6 * w + 0.4 * pagerank, 6) AS score, round(bm25, 6) AS bm25, round(pagerank, 6) AS pagerank FROM found ORDER BY 0.6 * w + 0.4 * pagerank DESC, id LIMIT 20
 """)
 def search_hybrid(spark, sf):
-    out = search.hybrid(nodes(spark, sf), edges(spark, sf), "nation region", 20)
+    n, e = _stored(spark, nodes=nodes(spark, sf), edges=edges(spark, sf))
+    out = search.hybrid(n, e, "nation region", 20, stored=_stored(spark, **dict(zip(("posting", "totals"), search.index(n, search.node_text(n)), strict=True))))
     return out.select("id", r6("score").alias("score"), r6("bm25").alias("bm25"), r6("pagerank").alias("pagerank"))
 
 
@@ -545,9 +633,10 @@ def prioritize_seeds(spark, sf):
     _SEEDS
     + """
 , q AS (SELECT simple_name AS name, owner || '#' || simple_name AS qualified_name, kind, score FROM seed)
-, a AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS next FROM q WINDOW w AS (PARTITION BY name ORDER BY score DESC, qualified_name))
-, g AS (SELECT name, count(*) AS n, count(DISTINCT qualified_name) AS names, count(*) FILTER (kind = 'class') AS types, coalesce(bool_or(place = 1 AND score > 1.5 * next), false) AS clear FROM a GROUP BY name)
-SELECT name, n > 1 AND names > 1 AND NOT (types = 1 OR clear) AS ambiguous, names FROM g
+, t AS (SELECT *, count(DISTINCT CASE WHEN kind = 'class' THEN qualified_name END) OVER (PARTITION BY name) AS types FROM q)
+, a AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS next FROM t WHERE types < 2 OR kind = 'class' WINDOW w AS (PARTITION BY name ORDER BY score DESC, qualified_name))
+, g AS (SELECT name, count(DISTINCT qualified_name) AS names, any_value(types) AS types, coalesce(bool_or(place = 1 AND score > 1.5 * next), false) AS clear FROM a GROUP BY name)
+SELECT name, names > 1 AND NOT (types = 1 OR clear) AS ambiguous, names FROM g
 """,
     False,
 )
@@ -568,13 +657,52 @@ def token_budget(spark, sf):
     return rank.packed(slices, 200, "conv_id").select("conv_id", F.col("at").alias("turn"), "tokens", "used")
 
 
+# Lines of one turn each: what fits whole stays, the first that doesn't is cut to what is left, and that is the end.
 @query(
     """
-SELECT 'part:' || p_partkey AS id, lower(p_type) AS owner, replace(p_name, ' ', '') AS member, p_size % 3 AS arity FROM part
+WITH t AS (SELECT conv_id, turn, replace(text, chr(10), ' ') AS line FROM conversations), c AS (SELECT *, greatest(1, length(line) // 4) AS tokens FROM t)
+, u AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT conv_id, turn, tokens > 200 - before AS truncated, CASE WHEN tokens > 200 - before THEN substr(line, 1, ((200 - before) * 4)::INTEGER) ELSE line END AS source FROM u WHERE before < 200
+""",
+    False,
+)
+def slice_packing(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace("text", "\n", " ").alias("source"))
+
+    def pack(key, rows):
+        own = [{"source": r.source, "span_start": 1, "span_end": 1, "turn": r.turn} for r in rows.sort_values("turn").itertuples()]
+        out, _, _ = rank.pack_slices(own, 200)
+        return pd.DataFrame([(key[0], s["turn"], s["truncated"], s["source"]) for s in out], columns=["conv_id", "turn", "truncated", "source"])
+
+    return turns.groupBy("conv_id").applyInPandas(pack, "conv_id long, turn long, truncated boolean, source string")
+
+
+@query(
+    """
+WITH q AS (SELECT 'part:' || p_partkey AS id, 'pkg.' || p_type AS owner, replace(p_name, ' ', '') AS member, p_size % 3 AS arity FROM part)
+SELECT 'LARGE#redbolt' AS query, id FROM q WHERE owner = 'pkg.LARGE' AND member = 'redbolt'
+UNION ALL SELECT 'redbolt(List)', id FROM q WHERE member = 'redbolt' AND arity = 1
+UNION ALL SELECT 'pkg.SMALL#newring(java.util.List<B>, int)', id FROM q WHERE owner = 'pkg.SMALL' AND member = 'newring' AND arity = 2
+UNION ALL SELECT 'SMALL.newring', id FROM q WHERE owner = 'pkg.SMALL' AND member = 'newring'
 """,
     False,
 )
 def qualified_lookup(spark, sf):
+    p = table(spark, sf, "part")
+    args = F.array_join(F.expr("slice(array('List', 'int'), 1, cast(p_size % 3 as int))"), ",")
+    qname = F.concat(F.lit("pkg."), "p_type", F.lit("#"), F.regexp_replace("p_name", " ", ""), F.lit("("), args, F.lit(")"))
+    n = p.select(F.concat(F.lit("part:"), "p_partkey").alias("id"), qname.alias("qualified_name"))
+    asked = ["LARGE#redbolt", "redbolt(List)", "pkg.SMALL#newring(java.util.List<B>, int)", "SMALL.newring", "MEDIUM#nothing", "a bare question"]
+    return reduce(DataFrame.unionByName, (named_members(n, q).select(F.lit(q).alias("query"), "id") for q in asked))
+
+
+@query(
+    """
+SELECT 'part:' || p_partkey AS id, lower(p_type) AS owner, replace(p_name, ' ', '') AS member, p_size % 3 AS arity FROM part
+""",
+    False,
+)
+def qualified_names(spark, sf):
     p = table(spark, sf, "part")
     args = F.array_join(F.expr("slice(array(' java.util.List<A>', 'int[] '), 1, cast(p_size % 3 as int))"), ",")
     qname = F.concat(F.lower("p_type"), F.lit("#"), F.regexp_replace("p_name", " ", ""), F.lit("("), args, F.lit(")"))
@@ -596,15 +724,15 @@ def descriptor_decode(spark, sf):
 
 @query(
     """
-SELECT p_partkey AS id, array_to_string(regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z]+|[0-9]+'), '|') AS words FROM part
+SELECT p_partkey AS id, array_to_string(list_sort(list_distinct(string_split(lower('HTTP ' || p_type || ' ' || p_name), ' ') || [p_size::VARCHAR])), '|') AS words FROM part
 """,
     False,
 )
 def identifier_words(spark, sf):
     p = table(spark, sf, "part")
-    name = F.regexp_replace(F.initcap(F.lower(F.concat_ws(" ", "p_type", "p_name"))), " ", "")
-    words = F.transform(F.regexp_extract_all(name, F.lit(r"[A-Z]+(?![a-z])|[A-Z][a-z]*|[a-z]+|\d+"), F.lit(0)), F.lower)
-    return p.select(F.col("p_partkey").alias("id"), F.array_join(words, "|").alias("words"))
+    camel = F.regexp_replace(F.initcap(F.lower(F.concat_ws(" ", "p_type", "p_name"))), " ", "")
+    name = F.concat(F.lit("HTTP"), camel, "p_size")
+    return p.select(F.col("p_partkey").alias("id"), F.array_join(F.array_sort(N.word_parts(name)), "|").alias("words"))
 
 
 # Measurement
@@ -658,14 +786,18 @@ def release_gates(spark, sf):
     return metrics.gates(measured, targets).withColumn("gap", r6("gap"))
 
 
-@query("""
-, h AS (SELECT sha256('node|' || id || '|' || kind || '|' || file || '|' || file || '#' || simple_name) AS h FROM node
-  UNION ALL SELECT sha256('edge|' || from_id || '|' || to_id || '|' || type) FROM edge)
+_SIGNATURE = _UNRESOLVED + """
+, h AS (SELECT sha256(concat_ws('|', 'node', '=' || id, '=' || kind, '=' || file || '#' || simple_name, '=' || simple_name, '=' || file)) AS h FROM node
+  UNION ALL SELECT sha256(concat_ws('|', 'edge', '=' || from_id, '=' || to_id, '=' || type, '=' || printf('%.6f', confidence), '=')) FROM edge
+  UNION ALL SELECT sha256(concat_ws('|', 'unresolved_reference', '=' || id, '=' || from_id, '=' || type, '=' || target_name, '=' || array_to_string(candidates, ','), '=' || reason, '=' || site_count)) FROM unresolved)
 , s AS (SELECT count(*) AS rows, """ + ", ".join(f"sum(('0x' || substr(h, {8 * k + 1}, 8))::BIGINT) AS p{k}" for k in range(8)) + """ FROM h)
 SELECT rows, sha256(concat_ws('|', rows, p0, p1, p2, p3, p4, p5, p6, p7)) AS signature FROM s
-""")
+"""
+
+
+@query(_SIGNATURE)
 def graph_signature(spark, sf):
-    return metrics.graph_signature(nodes(spark, sf), edges(spark, sf))
+    return metrics.graph_signature(nodes(spark, sf), edges(spark, sf), merge.merge_unresolved(_named_calls(spark, sf)))
 
 
 # Freshness and storage
@@ -698,18 +830,20 @@ def snapshot_replace(spark, sf):
     return store.replace_by_file(old, new, old.where("file like 'segment/%'").select("file")).drop("owner_id")
 
 
-@query("""
-, gone AS (SELECT id FROM node WHERE file = 'nation/3' OR file = 'region/1')
+@query(_UNRESOLVED + """
+, gone AS (SELECT id FROM node WHERE file IN ('nation/3', 'region/1', 'month/1995-01'))
+, kept AS (SELECT DISTINCT from_id, to_id, file, line FROM raw_call WHERE from_id NOT IN (SELECT id FROM gone) AND to_id NOT IN (SELECT id FROM gone))
 SELECT 'node' AS what, count(*) AS n FROM node WHERE id NOT IN (SELECT id FROM gone)
 UNION ALL SELECT 'edge', count(*) FROM edge WHERE from_id NOT IN (SELECT id FROM gone) AND to_id NOT IN (SELECT id FROM gone)
-UNION ALL SELECT 'evidence', count(*) FROM (SELECT DISTINCT from_id, to_id, file, line FROM raw_call)
+UNION ALL SELECT 'evidence', count(*) FROM kept
+UNION ALL SELECT 'unresolved_reference', count(*) FROM unresolved WHERE from_id NOT IN (SELECT id FROM gone)
 """)
 def delete_cascade(spark, sf):
     n, e = nodes(spark, sf), edges(spark, sf).withColumn("id", N.short_id("from_id", "to_id", "type"))
-    files = spark.createDataFrame([("nation/3",), ("region/1",)], "file string")
-    out = store.delete_cascade(n, e, merge.evidence(raw_calls(spark, sf)), _named_calls(spark, sf), files)
+    files = spark.createDataFrame([("nation/3",), ("region/1",), ("month/1995-01",)], "file string")
+    out = store.delete_cascade(n, e, merge.evidence(raw_calls(spark, sf)), merge.merge_unresolved(_named_calls(spark, sf)), files)
     count = lambda k: out[k].agg(F.lit(k).alias("what"), F.count("*").alias("n"))
-    return count("node").unionByName(count("edge")).unionByName(count("evidence"))
+    return reduce(DataFrame.unionByName, map(count, ("node", "edge", "evidence", "unresolved_reference")))
 
 
 @query("""
@@ -725,14 +859,13 @@ def identity_proof(spark, sf):
     """
 WITH d AS (SELECT user_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)
 , s AS (SELECT user_id, ts, sum(CASE WHEN gap IS NULL OR gap >= 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM d)
-SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM s GROUP BY user_id, k
+SELECT user_id::VARCHAR AS path, epoch_us(min(ts)) AS begin_us, epoch_us(max(ts)) + 3600000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k
 """,
     False,
 )
 def debounce_sessions(spark, sf):
-    e = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    s = e.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
-    return s.select("user_id", F.unix_micros("a").alias("first_us"), F.unix_micros("b").alias("last_us"), "n")
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    return sessions(e, "1 hour").select("path", F.unix_micros("begin").alias("begin_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 @query(

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -120,9 +121,9 @@ def read_occurrences(files: DataFrame) -> DataFrame:
         kind = to_arrow_schema(schema)
         for batch in batches:
             for content in batch.column(0).to_pylist():
-                rows = list(occurrences(content))
-                for at in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_pylist(rows[at : at + 10_000], schema=kind)
+                rows = occurrences(content)
+                while some := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_pylist(some, schema=kind)
 
     return files.select("content").mapInArrow(run, OCCURRENCE)
 

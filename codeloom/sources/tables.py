@@ -49,7 +49,8 @@ def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(1 - 5 * F.col("l_discount"), 4).alias("confidence"),
         F.concat(F.lit("ship/"), F.date_format("l_shipdate", "yyyy-MM")).alias("file"),
         F.col("l_linenumber").alias("line"),
-        F.array().cast("array<string>").alias("candidates"),
+        # Returned lines are raw references that had two candidates.
+        F.when(F.col("l_returnflag") == "R", F.array(_id("part", "l_partkey"), _id("supplier", "l_suppkey"))).otherwise(F.array().cast("array<string>")).alias("candidates"),
     )
 
 
@@ -91,9 +92,10 @@ node AS (
   UNION ALL SELECT 'orders:' || o_orderkey, 'method', 'month/' || strftime(o_orderdate, '%Y-%m'), 'order' || o_orderkey, 'customer:' || o_custkey FROM orders
 ), raw_call AS (
   SELECT 'orders:' || l_orderkey AS from_id, 'part:' || l_partkey AS to_id, 'CALLS' AS type, round(1 - 5 * l_discount, 4) AS confidence,
-    'ship/' || strftime(l_shipdate, '%Y-%m') AS file, l_linenumber AS line FROM lineitem
+    'ship/' || strftime(l_shipdate, '%Y-%m') AS file, l_linenumber AS line,
+    CASE WHEN l_returnflag = 'R' THEN ['part:' || l_partkey, 'supplier:' || l_suppkey] ELSE [] END AS candidates FROM lineitem
 ), edge AS (
-  SELECT from_id, to_id, type, max(confidence) AS confidence FROM raw_call GROUP BY ALL
+  SELECT from_id, to_id, type, max(confidence) AS confidence FROM raw_call GROUP BY from_id, to_id, type
   UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'IMPLEMENTS', 1.0 FROM nation
   UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'EXTENDS', 1.0 FROM customer
   UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'EXTENDS', 1.0 FROM supplier
