@@ -59,41 +59,64 @@ def path_steps(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, min_confid
     """(from_id, to_id, step, id, type, confidence): a shortest path along edges for each of ``pairs``; pairs without one are
     absent. ``type`` and ``confidence`` are of the edge into the step's node, ``seed`` and 1 at the start.
 
-    Levels go forward from the starts whose ends aren't all reached, all at once; a node keeps the parent of the most
-    confident edge, then the type, then the parent's id. Levels hold parents, not paths: paths are read backward from the
-    ends. A start that is its own end has a path of no hops. ``counts`` takes how many ``nodes`` the levels have, and ``edges``
-    at them.
+    Levels go forward from all starts and backward from all ends, by turns, until they meet, so no level is deeper than half
+    the path, and only from those whose pairs aren't all joined. Levels hold one edge for each node they reach: the most
+    confident, then the type, then the id of the node it comes from. A path of n hops goes over the node of smallest id of
+    those that are n // 2 hops from its start. A start that is its own end has a path of no hops. ``counts`` takes how many
+    ``nodes`` the levels have, and ``edges`` at them.
     """
-    work = Work(edges.sparkSession, "paths")
-    edges = edges.where(F.col("confidence") >= min_confidence).select(F.col("from_id").alias("via"), F.col("to_id").alias("next"), "type", "confidence")
+    spark, work = edges.sparkSession, Work(edges.sparkSession, "paths")
+    edges = edges.where(F.col("confidence") >= min_confidence).select("from_id", "to_id", "type", "confidence")
     left = work.save(pairs.select("from_id", "to_id").distinct(), "pairs")
-    first = left.select(F.col("from_id").alias("start")).distinct()
-    seed = (F.lit("seed").alias("type"), F.lit(1.0).alias("confidence"))
-    levels = [work.save(first.select("start", F.col("start").alias("id"), F.lit(None).cast("string").alias("via"), *seed), "0")]
-    visited, ends = levels[0].select("start", "id"), []
-    for hop in range(max_hops + 1):
-        if hop:
-            step = levels[-1].select("start", "id").join(edges, F.col("id") == F.col("via")).select("start", F.col("next").alias("id"), "type", "confidence", "via")
-            levels.append(work.save(_one_edge(step.join(visited, ["start", "id"], "left_anti"), "start", "id"), str(hop)))
-            visited = visited.unionByName(levels[-1].select("start", "id"))
-        hit = levels[-1].join(left, (F.col("start") == F.col("from_id")) & (F.col("id") == F.col("to_id")), "left_semi").select("start", "id")
-        ends.append(work.save(hit.withColumn("end", F.col("id")), f"end-{hop}"))
-        left = work.save(left.join(ends[-1].select(F.col("start").alias("from_id"), F.col("id").alias("to_id")), ["from_id", "to_id"], "left_anti"), f"left-{hop}")
-        if hop < max_hops:
-            # Starts that have reached all their ends go no further.
-            levels[-1] = work.save(levels[-1].join(left.select(F.col("from_id").alias("start")).distinct(), "start", "left_semi"), f"open-{hop}") if hop else levels[-1]
-            if left.isEmpty() or levels[-1].isEmpty():
+    ahead = {"root": "from_id", "here": "from_id", "next": "to_id", "levels": [], "name": "forward"}
+    back = {"root": "to_id", "here": "to_id", "next": "from_id", "levels": [], "name": "backward"}
+    for side in (ahead, back):
+        first = left.select(F.col(side["root"]).alias("root")).distinct().select("root", F.col("root").alias("id"), F.lit("seed").alias("type"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("via"))
+        side["levels"].append(work.save(first, f"{side['name']}-0"))
+        side["visited"] = side["levels"][0].select("root", "id")
+
+    def grow(side: dict) -> None:
+        still = left.select(F.col(side["root"]).alias("root")).distinct()
+        at = side["levels"][-1].select("root", "id").join(still, "root", "left_semi")
+        step = at.join(edges, F.col("id") == F.col(side["here"])).select("root", F.col(side["next"]).alias("id"), "type", "confidence", F.col(side["here"]).alias("via"))
+        step = _one_edge(step.join(side["visited"], ["root", "id"], "left_anti"), "root", "id")
+        side["levels"].append(work.save(step, f"{side['name']}-{len(side['levels'])}"))
+        side["visited"] = side["visited"].unionByName(side["levels"][-1].select("root", "id"))
+
+    met: list[tuple[int, DataFrame]] = []
+    for hops in range(max_hops + 1):
+        if hops:
+            grow(back if hops % 2 else ahead)
+        one = ahead["levels"][-1].select(F.col("root").alias("from_id"), "id").join(left, "from_id")
+        both = one.join(back["levels"][-1].select(F.col("root").alias("to_id"), "id"), ["to_id", "id"])
+        found = work.save(both.groupBy("from_id", "to_id").agg(F.min("id").alias("id")), f"met-{hops}")
+        if found.isEmpty():
+            if hops and (back if hops % 2 else ahead)["levels"][-1].isEmpty():
                 break
+            continue
+        met.append((hops, found))
+        left = work.save(left.join(found.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti"), f"left-{hops}")
+        if left.isEmpty():
+            break
     if counts is not None:
-        counts["nodes"] = visited.count()
-        counts["edges"] = sum(level.select("start", "id").join(edges, F.col("id") == F.col("via")).count() for level in levels[: len(ends) - 1])
-    out, wanted = [], None
-    for hop in range(len(ends) - 1, -1, -1):
-        wanted = ends[hop] if wanted is None else wanted.unionByName(ends[hop])
-        known = edges.sparkSession.read.schema(levels[hop].schema).parquet(f"{work.root}/{hop}")  # with the starts that are done
-        on = work.save(wanted.join(known, ["start", "id"]), f"on-{hop}")
-        out.append(on.select(F.col("start").alias("from_id"), F.col("end").alias("to_id"), F.lit(hop).alias("step"), "id", "type", "confidence"))
-        wanted = on.where("via is not null").select("start", F.col("via").alias("id"), "end")
+        counts["nodes"] = sum(side["visited"].count() for side in (ahead, back))
+        counts["edges"] = sum(level.join(edges, F.col("id") == F.col(side["here"])).count() for side in (ahead, back) for level in (x.select("root", "id") for x in side["levels"][:-1]))
+
+    out = [spark.createDataFrame([], "from_id string, to_id string, step int, id string, type string, confidence double")]
+    edge = lambda level, root: level.select(F.col("root").alias(root), "id", "type", "confidence", "via")
+    for hops, found in met:
+        middle = hops // 2
+        at = found
+        for step in range(middle, -1, -1):  # from the middle to the start: each node's edge leads into it
+            at = work.save(at.join(edge(ahead["levels"][step], "from_id"), ["from_id", "id"]), f"to-start-{hops}-{step}")
+            out.append(at.select("from_id", "to_id", F.lit(step).alias("step"), "id", "type", "confidence"))
+            at = at.select("from_id", "to_id", F.col("via").alias("id"))
+        at = found
+        for step in range(middle, hops):  # and to the end: each node's edge leads on
+            at = work.save(at.join(edge(back["levels"][hops - step], "to_id"), ["to_id", "id"]), f"to-end-{hops}-{step}")
+            at = at.select("from_id", "to_id", F.col("via").alias("id"), "type", "confidence")
+            out.append(at.select("from_id", "to_id", F.lit(step + 1).alias("step"), "id", "type", "confidence"))
+            at = at.select("from_id", "to_id", "id")
     return reduce(DataFrame.unionByName, out)
 
 

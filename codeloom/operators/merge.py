@@ -13,7 +13,7 @@ def merge_edges(raw: DataFrame) -> DataFrame:
     """One edge for each (from_id, to_id, type) of ``raw`` (.., confidence, file, line, candidates): of the most confident row,
     the first by file and line; candidates are united, and ``sites`` counts distinct places."""
     key = ["from_id", "to_id", "type"]
-    flat = F.array_sort(F.array_distinct(F.flatten(F.collect_list("candidates"))))
+    flat = F.array_sort(F.array_distinct(F.flatten(F.collect_set("candidates"))))  # sites of one name have one list
     site = F.count_distinct(F.struct("file", "line"))
     best = F.min(F.struct((-F.col("confidence")).alias("minus"), "file", "line"))
     out = raw.groupBy(*key).agg(best.alias("best"), site.alias("sites"), flat.alias("ambiguous_candidates"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,7 +116,7 @@ class Engine:
             return "full"
         parsed = store.replace_by_file(old["parsed_file"], new_parsed, changed)
         nodes = store.replace_by_file(old["node"], new_nodes, changed)
-        part = {k: work.save(v, k) for k, v in build(parsed, nodes, changed, old["supertypes"]).items() if k != "supertypes"}
+        part = build(parsed, nodes, changed, old["supertypes"])
         ids = new_nodes.select(F.col("id").alias("from_id"))
         above = lambda df: df.where(F.col("type").isin("EXTENDS", "IMPLEMENTS"))
         was = {t: here[t].join(ids, "from_id", "left_semi") for t in ("edge", "unresolved_reference")}
@@ -162,9 +163,11 @@ class Engine:
         if m is None:
             return NOT_INDEXED
         t = self.tables(m)
-        kinds = {r.type: r["count"] for r in t["edge"].groupBy("type").count().collect()}
-        n = t["node"].agg(F.count("*").alias("nodes"), F.count_if("is_entry_point").alias("entry")).first()
-        out = {"nodes": n.nodes, "edges": sum(kinds.values()), "files": t["file_meta"].count(), "edge_types": kinds, "unresolved": t["unresolved_reference"].count(), "entry_points": n.entry}
+        each = [t["edge"].select("type"), t["node"].select(F.when(F.col("is_entry_point"), "=entry").otherwise("=node")), t["file_meta"].select(F.lit("=file")), t["unresolved_reference"].select(F.lit("=open"))]
+        n = {r.type: r["count"] for r in reduce(DataFrame.union, each).groupBy("type").count().collect()}
+        kinds = {k: v for k, v in n.items() if not k.startswith("=")}
+        get = lambda k: n.get(k, 0)
+        out = {"nodes": get("=node") + get("=entry"), "edges": sum(kinds.values()), "files": get("=file"), "edge_types": kinds, "unresolved": get("=open"), "entry_points": get("=entry")}
         return out if root is None else out | self.freshness(root)
 
     def freshness(self, root: str) -> dict:

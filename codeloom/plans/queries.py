@@ -170,11 +170,9 @@ _PATHS = f"""
 , pair AS ({_PAIRS})
 , near AS (SELECT p.start, p.target, a.to_id AS first, a.type AS first_type, a.confidence AS first_confidence FROM pair p JOIN edge a ON a.from_id = p.start AND a.type = 'IMPORTS'
   JOIN edge b ON b.from_id = a.to_id AND b.to_id = p.target)
-, part_of AS (SELECT p.start, a.to_id AS part, a.confidence FROM pair p JOIN edge a ON a.from_id = p.start AND a.type = 'CALLS')
-, supplier_of AS (SELECT start, b.to_id AS supplier, min(part) AS part FROM part_of JOIN edge b ON b.from_id = part AND b.type = 'REFERENCES' GROUP BY start, b.to_id)
-, far AS (SELECT p.start, p.target, min(s.supplier) AS supplier FROM pair p JOIN supplier_of s ON s.start = p.start JOIN edge c ON c.from_id = s.supplier AND c.to_id = p.target
-  WHERE p.start NOT IN (SELECT start FROM near) GROUP BY p.start, p.target)
-, far_path AS (SELECT f.start, f.target, s.part, f.supplier, x.confidence FROM far f JOIN supplier_of s ON s.start = f.start AND s.supplier = f.supplier JOIN part_of x ON x.start = f.start AND x.part = s.part)
+, over AS (SELECT p.start, p.target, a.to_id AS part, a.confidence, min(b.to_id) AS supplier FROM pair p JOIN edge a ON a.from_id = p.start AND a.type = 'CALLS'
+  JOIN edge b ON b.from_id = a.to_id AND b.type = 'REFERENCES' JOIN edge c ON c.from_id = b.to_id AND c.to_id = p.target WHERE p.start NOT IN (SELECT start FROM near) GROUP BY p.start, p.target, a.to_id, a.confidence)
+, far_path AS (SELECT start, target, min(part) AS part, arg_min(supplier, part) AS supplier, arg_min(confidence, part) AS confidence FROM over GROUP BY start, target)
 """
 
 
@@ -568,8 +566,8 @@ def exact_hits(spark, sf):
 SELECT id, round(0.6 * w + 0.4 * pagerank, 6) AS score, round(bm25, 6) AS bm25, round(pagerank, 6) AS pagerank FROM found ORDER BY 0.6 * w + 0.4 * pagerank DESC, id LIMIT 20
 """)
 def search_hybrid(spark, sf):
-    n, e = _stored(spark, nodes=nodes(spark, sf), edges=edges(spark, sf))
-    out = search.hybrid(n, e, "nation region", 20, stored=_stored(spark, **dict(zip(("posting", "totals"), search.index(n, search.node_text(n)), strict=True))))
+    (e,) = _stored(spark, edges=edges(spark, sf))
+    out = search.hybrid(nodes(spark, sf), e, "nation region", 20)
     return out.select("id", r6("score").alias("score"), r6("bm25").alias("bm25"), r6("pagerank").alias("pagerank"))
 
 

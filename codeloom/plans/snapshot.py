@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,7 +93,9 @@ class SnapshotStore:
     def _commit(self, old: dict | None, tables: dict[str, DataFrame], n: int, parts: list[int] | None, about: dict | None) -> int:
         new = {"version": (old["version"] if old else 0) + 1, "parts": n, "about": about or (old or {}).get("about", {}), "tables": dict((old or {}).get("tables", {}))}
         folder = f"v{new['version']}-{uuid.uuid4().hex[:12]}"
-        for name, df in tables.items():
+
+        def put(name: str) -> None:
+            df = tables[name]
             fields = self.spark.createDataFrame([], TABLES[name]).schema.fields
             df = df.select(*(df[f.name].cast(f.dataType).alias(f.name) for f in fields)).withColumn("part", part_of(name, n))
             path = f"{self.path}/data/{folder}/{name}"
@@ -108,6 +111,9 @@ class SnapshotStore:
             written = {f.getPath().getName().removeprefix("part="): folder for f in (fs.listStatus(p) if fs.exists(p) else []) if f.getPath().getName().startswith("part=")}
             kept = {} if parts is None or name in WHOLE else {k: v for k, v in new["tables"].get(name, {}).items() if int(k) not in parts}
             new["tables"][name] = kept | written
+
+        with ThreadPoolExecutor(len(tables)) as pool:  # the tables' jobs run side by side
+            list(pool.map(put, tables))
         fs, p = file_system(self.spark, f"{self.path}/manifest-{new['version']}")
         try:
             out = fs.create(p, False)

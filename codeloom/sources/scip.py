@@ -21,7 +21,7 @@ _DESCRIPTOR = re.compile(r"(?:`((?:[^`]|``)+)`|([\w+$-]+))(?:([/#.:!])|\(([^)]*)
 
 
 def fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
-    """(number, value) of each field of a message: an integer for varints, bytes for those of a given length."""
+    """(number, value) of each field of a message: an integer for varints, else bytes."""
     at, n = 0, len(raw)
 
     def varint() -> int:
@@ -49,8 +49,7 @@ def fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
         if at + size > n:
             raise ValueError("truncated field")
         at += size
-        if kind == 2:
-            yield key >> 3, raw[at - size : at]
+        yield key >> 3, raw[at - size : at]
 
 
 def _ints(value: bytes | int) -> list[int]:
