@@ -33,45 +33,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import text_batches
+from codeloom.sources.scip import fields
 
 MARK = "▁"
 #: Fixed values of the file format: types of pieces.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
-def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
-    """(number, value) of each field of a protobuf message."""
-    at = 0
-
-    def varint() -> int:
-        nonlocal at
-        out = shift = 0
-        while True:
-            b = raw[at]
-            at += 1
-            out |= (b & 127) << shift
-            if b < 128:
-                return out
-            shift += 7
-
-    while at < len(raw):
-        key = varint()
-        kind = key & 7
-        if kind == 0:
-            yield key >> 3, varint()
-            continue
-        size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
-        yield key >> 3, raw[at : at + size]
-        at += size
-
-
 def read_model(path: str) -> list[tuple[str, float, int]]:
     """(piece, score, type) of each id of a SentencePiece model file."""
     out = []
     with open(path, "rb") as f:
-        for number, value in _fields(f.read()):
+        for number, value in fields(f.read()):
             if number == 1:
-                own = dict(_fields(value))
+                own = dict(fields(value))
                 score = struct.unpack("<f", own[2])[0] if 2 in own else 0.0
                 out.append((own.get(1, b"").decode(), score, own.get(3, NORMAL)))
     return out
