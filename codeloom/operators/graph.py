@@ -127,6 +127,14 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, min_co
     return found.select("from_id", "to_id", "hops", F.array_join(F.col("ids.id"), ">").alias("path"))
 
 
+def supertype_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sub, sup): qualified names at both ends of EXTENDS and IMPLEMENTS edges, typed ones included."""
+    e = edges.where(F.regexp_replace("type", "_TYPED$", "").isin("EXTENDS", "IMPLEMENTS")).select("from_id", "to_id")
+    a = nodes.select(F.col("id").alias("from_id"), F.col("qualified_name").alias("sub"))
+    b = nodes.select(F.col("id").alias("to_id"), F.col("qualified_name").alias("sup"))
+    return e.join(a, "from_id").join(b, "to_id").select("sub", "sup")
+
+
 def ancestors(supertypes: DataFrame) -> DataFrame:
     """(type, ancestor, dist) of ``supertypes`` (sub, sup): each type itself at 0, and each supertype at its least distance.
 

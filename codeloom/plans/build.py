@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.names import member_name, node_id, owner_of, param_types, return_type, short_id
 from codeloom.operators import resolve
-from codeloom.operators.graph import ancestors
+from codeloom.operators.graph import ancestors, supertype_names
 from codeloom.operators.merge import evidence, merge_edges, merge_unresolved
 from codeloom.schema import BLIND_UNIQUE, DECLARED, STRUCTURAL, TYPE_KINDS
 from codeloom.work import Work
@@ -104,9 +104,7 @@ def build(parsed: DataFrame, nodes: DataFrame, only: DataFrame | None = None, su
     type_edges = _edges(found, refs, F.col("edge_type"), F.lit(STRUCTURAL))
     raw, undecided = [type_edges], [_open(found, refs, F.col("edge_type"), F.lit("ambiguous_supertype"), F.col("simple"))]
     if supers is None:
-        qname = s.types.select(F.col("id").alias("x"), F.col("qualified_name").alias("q"))
-        a, b = qname.select(F.col("x").alias("from_id"), F.col("q").alias("sub")), qname.select(F.col("x").alias("to_id"), F.col("q").alias("sup"))
-        supers = type_edges.join(a, "from_id").join(b, "to_id").select("sub", "sup").distinct()
+        supers = supertype_names(type_edges, s.types).distinct()
     supers = work.save(supers, "pairs")
     closure = work.save(ancestors(supers), "closure")
 

@@ -124,7 +124,7 @@ def test_incremental_steps_equal_full_builds(spark, source, tmp_path, monkeypatc
     that of a full build; a part of the tables that no change touches isn't written."""
     import random
 
-    monkeypatch.setattr(snapshot, "FILES_A_PART", 1)
+    monkeypatch.setattr(snapshot, "FILES_A_PART", 2)
     r, paths = random.Random(1), []
     e = Engine(spark, f"{tmp_path}/index")
     e.build(source)
