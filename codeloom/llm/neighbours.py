@@ -42,7 +42,7 @@ from codeloom.llm.common import Scratch, group_ends, n_partitions, whole_groups
 SAMPLE, SAMPLE_BYTES, GRAPH_K, ROWS_A_PART, TARGET, HIDDEN, SLACK = 8192, 64 << 20, 16, 64, 0.95, 32, 1.25
 LEAF, LEVELS, ROUTER_BYTES, CHUNK_BYTES = 1 << 16, 3, 64 << 20, 16 << 20
 #: Rows whose reading costs as much as one more copy of a query.
-PROBE_ROWS = 500
+PROBE_ROWS = 100
 #: Numbers of parts that are tried; a part's number is its parent's times ``FAN`` and its own.
 PARTS, FAN = [2, 4, 5, 6, 8, 12, 16, 32, 64], 64
 
