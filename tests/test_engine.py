@@ -149,7 +149,7 @@ def test_incremental_steps_equal_full_builds(spark, source, tmp_path, monkeypatc
         if paths[-1] == "fast":
             old, now = before["tables"]["node"], e.store.manifest()["tables"]["node"]
             assert sum(old[p] != now[p] for p in now) == 1 and len(now) > 1
-        if step == 11 or paths[-1] == "fast" and paths.count("fast") < 4:
+        if step == 11 or paths[-1] == "fast" and paths.count("fast") < 3:
             fresh = Engine(spark, f"{tmp_path}/fresh-{step}")
             fresh.build(source)
             assert fresh.signature() == e.signature()
