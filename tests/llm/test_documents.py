@@ -327,6 +327,47 @@ def test_near_copies_beyond_three_bits_go(spark, monkeypatch):
     assert any((fps[k] ^ fps[label[k]]).bit_count() > 3 for k in range(len(texts)))
 
 
+@pytest.mark.parametrize("chunk", [None, 16])
+def test_large_buckets_lose_no_component(spark, monkeypatch, chunk):
+    """Families of 40 texts about as similar as the least that counts: a forest of a bucket's nearest SimHashes misses links."""
+    if chunk:
+        monkeypatch.setattr(near_dedup, "HOT", chunk)
+        monkeypatch.setattr(near_dedup, "TOKENS", 2000)
+    r = np.random.default_rng(0)
+    vocabulary = np.array(["".join(r.choice(list("abcdefghij"), 6)) for _ in range(3000)])
+    texts = []
+    for _ in range(12):
+        base = r.choice(vocabulary, 120)
+        for _ in range(40):
+            copy = base.copy()
+            copy[r.integers(0, 120, r.integers(1, 4))] = f"x{len(texts)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {x.doc_id for x in near_dedup.keep_one(docs).collect()} == set(_jaccard_components(texts).tolist())
+
+
+def test_far_simhashes_of_similar_sets(spark):
+    """Five shingles and four of them: similarity 0.8, SimHashes 26 bits apart."""
+    words = [f"w2179x{k}" for k in range(9)]
+    texts = [" ".join(words), " ".join(words[:8])]
+    a, b = (near_dedup.sketch(near_dedup.shingle_set(t))[1] for t in texts)
+    assert ((a ^ b) & (2**64 - 1)).bit_count() == 26
+    assert [x.doc_id for x in near_dedup.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()] == [0]
+
+
+def test_linked_labels_of_two_chunks():
+    r = np.random.default_rng(3)
+    sets = [r.choice(400, r.integers(1, 30), replace=False) for _ in range(60)]
+    sets += [np.unique(np.append(s[r.random(len(s)) > 0.1], s[0])) for s in sets] + [np.array([7])]
+    left, label = np.arange(60), np.arange(len(sets)) * 10 - 50
+    right, ends = np.arange(60, len(sets)), np.cumsum([0, *map(len, sets)])
+    near = [(a, b) for a in left for b in right if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    got = near_dedup.linked_labels(label, np.concatenate(sets) - 200, ends, left, right, 0.8)
+    assert 10 < len(got) <= len(near) < 60
+    component = lambda pairs: union_labels(len(sets), *np.array(pairs).T.astype(int)).tolist()
+    assert component([((a + 50) // 10, (b + 50) // 10) for a, b in got]) == component(near)
+
+
 def test_near_dedup_on_odd_tables(odd_docs, no_docs):
     kept = near_dedup.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns and kept.dtypes == odd_docs.dtypes
